@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from ferrule.llm.chat import OP10_SQL, op10_chat_formatting
 from ferrule.llm.media import op5_media_columns
+from ferrule.llm.near_dup import OP2_SQL, op2_near_duplicates
 from ferrule.llm.secrets import op4_secret_scan
 from ferrule.llm.sharding import op3_sharding
 from ferrule.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_sharding": op3_sharding,
     "op4_secret_scan": op4_secret_scan,
     "op5_media_columns": op5_media_columns,
     "op10_chat_formatting": op10_chat_formatting,
 }
-ORACLES = {"op10_chat_formatting": OP10_SQL}
+ORACLES = {"op2_near_duplicates": OP2_SQL, "op10_chat_formatting": OP10_SQL}
