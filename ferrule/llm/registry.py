@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ferrule.llm.chat import OP10_SQL, op10_chat_formatting
+from ferrule.llm.line_dedup import OP9_SQL, op9_line_dedup
 from ferrule.llm.media import op5_media_columns
 from ferrule.llm.near_dup import OP2_SQL, op2_near_duplicates
 from ferrule.llm.secrets import op4_secret_scan
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_secret_scan": op4_secret_scan,
     "op5_media_columns": op5_media_columns,
+    "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
-ORACLES = {"op2_near_duplicates": OP2_SQL, "op10_chat_formatting": OP10_SQL}
+ORACLES = {"op9_line_dedup": OP9_SQL, "op2_near_duplicates": OP2_SQL, "op10_chat_formatting": OP10_SQL}
