@@ -29,7 +29,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 _tables: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _tables or len(_tables["up"]) < n + 1:
         size = max(1 << 13, 1 << n.bit_length())
         _tables["up"], _tables["down"] = _powers(BASE, size), _powers(pow(BASE, -1, 1 << 64), size)
@@ -60,7 +60,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for at, piece in _pieces(raw):
         if not len(piece):
             continue
-        up, down = _power_tables(len(piece))
+        up, down = power_tables(len(piece))
         space = np.empty(len(piece) + 2, dtype=np.int8)
         space[0] = space[-1] = 1
         space[1:-1] = _SPACE[piece]
