@@ -1,13 +1,68 @@
-"""The corpus pipeline: documents through a chain of text operators."""
+"""The corpus pipeline: documents through five text operators, each stage written and read again.
+
+Stages, in order: toxic documents go; later copies of line runs are deleted, and documents that this empties go; one
+document of each near-duplicate group stays; documents that hold a benchmark item go; the texts are encoded into
+sampled pieces, and decoded to prove it. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ferrule.llm.common import stage_table, table
+from ferrule.llm.decontaminate import drop_contaminated
+from ferrule.llm.line_dedup import drop_repeated_lines
+from ferrule.llm.near_dup import drop_near_duplicates
+from ferrule.llm.pieces import decode_pieces, encode_pieces
+from ferrule.llm.toxicity import score_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(docs)
+    emptied = (F.col("n_deleted") > 0) & (F.col("text") == "")
+    length = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", length).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    both = decode_pieces(encode_pieces(docs))
+    return both.select(
+        *docs.columns,
+        "piece_ids",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+#: Toxicity and piece sampling are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stage_table(docs, name)
     return docs
