@@ -7,7 +7,8 @@ have odds below 1e-8), so they meet in a list of one of the rarest retained valu
 The sketch of the union estimates a candidate's similarity and filters; the exact Jaccard of the full sets decides.
 
 Lists are worked off without writing all their pairs: first every member meets the list's first member; confirmed
-links give components; then only members of different components still meet. Long lists that stay split are cut anew
+links give components; those outside a list's main component meet a few members inside; then only members of
+components that are still different meet, all of them. Long lists that stay split are cut anew
 by the full sets' own rarest shingles, where the threshold itself bounds what partners share.
 
 Edge cases: null and empty texts have no set, no links, and are kept; shorter texts are one shingle; repeated rows and
@@ -132,6 +133,26 @@ def _across(tagged: DataFrame, percent: int) -> DataFrame:
     return out.join(every, "value").where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+#: Members of a list's main component that those outside it meet before they meet all.
+PROBES = 8
+
+
+def _probes(tagged: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the members outside a list's main component with ``PROBES`` members inside, the same for all lists."""
+    parts = tagged.groupBy("value", "component").agg(
+        F.count("*").alias("m"),
+        *[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n")).alias(f"p{i}") for i in range(PROBES)],
+    )
+    picked = F.array_distinct(F.array(*[F.struct(f"p{i}.node", f"p{i}.n") for i in range(PROBES)]))
+    main = parts.groupBy("value").agg(
+        F.max(F.struct(F.col("m"), F.col("component"), picked.alias("probes"))).alias("top"), F.count("*").alias("parts")
+    ).where("parts > 1")
+    out = tagged.join(main.select("value", "top"), "value").where("component <> top.component")
+    met = out.select(F.col("node").alias("a"), F.col("n").alias("an"), F.explode("top.probes").alias("p"))
+    fits = 100 * F.least(F.col("an"), F.col("p.n")) >= percent * F.greatest(F.col("an"), F.col("p.n"))
+    return met.where(fits).select("a", F.col("p.node").alias("b")).distinct()
+
+
 #: A list whose members outside its main component could meet in more pairs than this is cut anew.
 LONG = 1 << 12
 
@@ -148,8 +169,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = stage_table(full_sets(docs, postings.select("node").distinct(), words), "sets")
     star = postings.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     links = stage_table(confirmed(star, sets, percent), "links")
+    comps = components(links)
+    members = postings.select("value", "node", "n")
+    # a second try, before all that are still apart meet: most copies know some member of the main component
+    links = stage_table(links.unionByName(confirmed(_probes(_tagged(members, comps), percent), sets, percent)), "links")
     comps = stage_table(components(links), "components")
-    tagged = _tagged(postings.select("value", "node", "n"), comps)
+    tagged = _tagged(members, comps)
     sizes = tagged.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(
         F.sum("c").alias("m"), F.max("c").alias("top")
     )
