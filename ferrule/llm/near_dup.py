@@ -8,8 +8,8 @@ The sketch of the union estimates a candidate's similarity and filters; the exac
 
 Lists are worked off without writing all their pairs: first every member meets the list's first member; confirmed
 links give components; those outside a list's main component meet a few members inside; then only members of
-components that are still different meet, all of them. Long lists that stay split are cut anew
-by the full sets' own rarest shingles, where the threshold itself bounds what partners share.
+components that are still different meet, all of them. Long lists that stay split are cut anew by the full sets' own
+rarest shingles, where the threshold itself bounds what partners share; what is long even then is compared in blocks.
 
 Edge cases: null and empty texts have no set, no links, and are kept; shorter texts are one shingle; repeated rows and
 equal texts are one class, the smallest id names it; a null id never names a group of others; empty tables give empty
@@ -127,10 +127,11 @@ def _across(tagged: DataFrame, percent: int) -> DataFrame:
         F.max(F.struct(F.col("m"), F.col("component"))).alias("top"), F.count("*").alias("parts")
     ).where("parts > 1").select("value", F.col("top.component").alias("main"))
     split = tagged.join(main, "value")
-    out = split.where("component <> main").select("value", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    every = split.select("value", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    fits = (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")) & (F.col("ac") != F.col("bc"))
-    return out.join(every, "value").where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    cols = lambda p: [F.col(c).alias(p + c) for c in ("node", "n", "component")]
+    out, every = split.where("component <> main").select("value", *cols("a_")), split.select("value", *cols("b_"))
+    fits = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.col("a_component") != F.col("b_component"))
+    met = out.join(every, "value").where(fits)
+    return met.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct()
 
 
 #: Members of a list's main component that those outside it meet before they meet all.
@@ -153,8 +154,57 @@ def _probes(tagged: DataFrame, percent: int) -> DataFrame:
     return met.where(fits).select("a", F.col("p.node").alias("b")).distinct()
 
 
-#: A list whose members outside its main component could meet in more pairs than this is cut anew.
+#: A list whose members outside its main component could meet in more pairs than this is a long one.
 LONG = 1 << 12
+#: Members of a block; two blocks are compared in one task.
+BLOCK = 128
+
+
+def _long_lists(tagged: DataFrame) -> DataFrame:
+    sizes = tagged.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(
+        F.sum("c").alias("m"), F.max("c").alias("top")
+    )
+    return stage_table(sizes.where((F.col("m") - F.col("top")) * F.col("m") > LONG).select("value"), "long-lists")
+
+
+def _linked_in_blocks(tagged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links among members of long lists, compared block by block; only links that join components leave.
+
+    Lists that share members form a cluster. A member's block is a hash; every two blocks of a cluster are a task's
+    work, so a task holds 2 * ``BLOCK`` sets at any cluster size, and a member is sent once per block.
+    """
+    firsts = tagged.groupBy("value").agg(F.min("node").alias("b"))
+    clusters = components(tagged.join(firsts, "value").select(F.col("node").alias("a"), "b")).select(
+        "node", F.col("component").alias("cluster")
+    )
+    placed = clusters.join(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "cluster")
+    own = placed.withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.join(tagged.select("node", "component").distinct(), "node").join(sets, "node")
+    work = sent.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "vals")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows["vals"].map(len).to_numpy()
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        _, column, seen = np.unique(np.concatenate(list(rows["vals"])), return_inverse=True, return_counts=True)
+        shared = seen[column] > 1
+        _, column = np.unique(column[shared], return_inverse=True)
+        common = np.zeros((len(rows), len(rows)), np.float32)
+        for lo in range(0, int(column.max(initial=-1)) + 1, 4096):  # a slice of the shingles at a time
+            part = (column >= lo) & (column < lo + 4096)
+            held = np.zeros((len(rows), 4096), np.float32)
+            held[owner[shared][part], column[part] - lo] = 1
+            common += held @ held.T
+        x, y = np.nonzero(np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1))
+        nodes, group = rows["node"].to_numpy(), rows["component"].to_numpy().copy()
+        links = []
+        for a, b in zip(x, y, strict=True):
+            if group[a] != group[b]:
+                links.append((nodes[a], nodes[b]))
+                group[group == group[a]] = group[b]
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return work.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -175,18 +225,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = stage_table(links.unionByName(confirmed(_probes(_tagged(members, comps), percent), sets, percent)), "links")
     comps = stage_table(components(links), "components")
     tagged = _tagged(members, comps)
-    sizes = tagged.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(
-        F.sum("c").alias("m"), F.max("c").alias("top")
-    )
-    long = sizes.where((F.col("m") - F.col("top")) * F.col("m") > LONG).select("value")
-    long = stage_table(long, "long-lists")
-    cross = [_across(tagged.join(long, "value", "left_anti"), percent)]
+    long = _long_lists(tagged)
+    found = [confirmed(_across(tagged.join(long, "value", "left_anti"), percent), sets, percent)]
     if not long.isEmpty():
         inside = postings.join(long, "value", "left_semi").select("node").distinct()
-        members = sets.join(inside, "node").select("node", F.size("vals").cast("long").alias("n"), "vals")
-        cross.append(_across(_tagged(prefix_postings(members, percent / 100), comps), percent))
-    for pairs in cross:
-        links = links.unionByName(confirmed(pairs, sets, percent))
+        texts = sets.join(inside, "node").select("node", F.size("vals").cast("long").alias("n"), "vals")
+        tagged = _tagged(stage_table(prefix_postings(texts, percent / 100), "whole-postings"), comps)
+        long = _long_lists(tagged)
+        found.append(confirmed(_across(tagged.join(long, "value", "left_anti"), percent), sets, percent))
+        if not long.isEmpty():
+            found.append(_linked_in_blocks(tagged.join(long, "value", "left_semi"), sets, percent))
+    for more in found:
+        links = links.unionByName(more)
     final = components(links)
     named = classes.select("f1", "f2", "n", "node").join(final, "node", "left")
     named = named.select("f1", "f2", "n", F.coalesce("component", "node").alias("component"))
