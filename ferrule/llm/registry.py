@@ -8,6 +8,7 @@ from ferrule.llm.line_dedup import OP9_SQL, op9_line_dedup
 from ferrule.llm.media import op5_media_columns
 from ferrule.llm.near_dup import OP2_SQL, op2_near_duplicates
 from ferrule.llm.pieces import op7_sentencepiece
+from ferrule.llm.repeats import op6_repeats
 from ferrule.llm.secrets import op4_secret_scan
 from ferrule.llm.sharding import op3_sharding
 from ferrule.llm.toxicity import op1_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_secret_scan": op4_secret_scan,
     "op5_media_columns": op5_media_columns,
+    "op6_repeats": op6_repeats,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
