@@ -75,8 +75,8 @@ class Template:
         kind = np.concatenate([[0], _KIND[raw], [0]])
         turn = np.flatnonzero(np.diff(kind))
         # a token runs from one change of kind to the next, separators left out
-        start = turn[kind[turn + 1] != 0]
-        end = turn[np.searchsorted(turn, start, side="right")] if len(start) else start
+        which = np.flatnonzero(kind[turn + 1])
+        start, end = turn[which], turn[which + 1]
         up, down = power_tables(len(raw))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_LOW[raw] * up[: len(raw)], out=sums[1:])
@@ -88,8 +88,10 @@ class Template:
             opens = stops[start] > stops[np.concatenate([[0], end[:-1]])]
             opens[0] = True
             name = _UPPER[raw[start]] & ~opens & ~number
-            unit = np.concatenate([[False], number[:-1]]) & np.isin(hashes, _UNIT_HASHES)
-            slot[number], slot[name & ~unit], slot[unit] = 1, 2, 3
+            slot[number], slot[name] = 1, 2
+            after = np.flatnonzero(number[:-1] & ~number[1:]) + 1  # only these can be units
+            spot = np.minimum(np.searchsorted(_UNIT_HASHES, hashes[after]), len(_UNIT_HASHES) - 1)
+            slot[after[_UNIT_HASHES[spot] == hashes[after]]] = 3
             # neighbours of one slot share a placeholder
             again = (slot[1:] == slot[:-1]) & ((slot[1:] == 1) | (slot[1:] == 2))
             keep = np.concatenate([[True], ~again])
