@@ -32,8 +32,9 @@ SEED = 7
 SHARPNESS = 1.0
 #: Scale of the weights per character, which keeps sums in range.
 PER_CHARACTER = 30.0
-#: Characters that a task works on at a time, and leading bits that index its table of pieces.
-BLOCK = 1 << 20
+#: Characters and rows that a task works on at a time, and leading bits that index its table of pieces.
+BLOCK = 1 << 18
+ROWS = 512
 TOP_BITS = 17
 SPACES = re.compile(r"[^ ] ")
 
@@ -243,7 +244,9 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, seed: int = SEED, id_col:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = lattice(model)
         for batch in batches:
-            yield batch.assign(piece_ids=own.encode(list(batch[text_col]), list(batch[id_col]), seed))
+            for lo in range(0, len(batch), ROWS):  # pieces take more room than texts: hand them on in small parts
+                part = batch.iloc[lo : lo + ROWS]
+                yield part.assign(piece_ids=own.encode(list(part[text_col]), list(part[id_col]), seed))
 
     return rest.mapInPandas(run, schema)
 
