@@ -38,7 +38,7 @@ GRAMS = LENGTH - GRAM + 1
 SLICE = 1 << 20
 HOT = 4096
 #: Bytes of segments that a task sorts at a time.
-HELD = 8 << 20
+HELD = 2 << 20
 _PLACE = U64((1 << 24) - 1)
 
 
@@ -79,31 +79,46 @@ def segments(data: bytes) -> dict[str, np.ndarray]:
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segments of all documents. Those equal to an earlier one of their batch are known to be copies (``copy``)."""
     for batch in batches:
         rows = []
-        for ident, text in zip(batch["doc_id"], batch["text"], strict=True):
+        null = batch["doc_id"].isna().to_numpy()
+        idents = batch["doc_id"].fillna(0).to_numpy(np.int64)
+        for k, text in enumerate(batch["text"]):
             data = (text or "").encode()
             got = segments(data)
-            if len(got["start"]):
+            if n := len(got["start"]):
                 spot = got["start"] << 32 | zlib.crc32(data)
-                rows.append((np.repeat(np.array([ident], dtype=object if ident is None or ident != ident else np.int64), len(spot)), got["anchor"], got["content"], spot, got["size"]))
-        if rows:
-            cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
-            yield pd.DataFrame(dict(zip(("doc_id", "anchor", "content", "spot", "size"), cols, strict=True)))
+                rows.append((np.full(n, idents[k]), np.full(n, null[k]), got["anchor"], got["content"], spot, got["size"]))
+        if not rows:
+            continue
+        ident, unknown, anchor, content, spot, size = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.lexsort((spot, ident, ~unknown, content))
+        opens = np.concatenate([[True], content[order][1:] != content[order][:-1]])
+        first = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
+        copy = np.empty(len(order), bool)
+        copy[order] = (ident[order] != ident[first]) | (unknown[order] != unknown[first]) | (spot[order] != spot[first])
+        yield pd.DataFrame(
+            {"doc_id": pd.Series(ident).astype("Int64").mask(unknown), "anchor": anchor, "content": content, "spot": spot, "size": size, "copy": copy}
+        )
 
 
 def _classified(docs: DataFrame) -> DataFrame:
     """Segments that matter: copies of earlier ones, and first ones whose anchor has several different segments.
 
-    The columns: doc_id, crc (of the text), start, size, anchor, leads, and whether the anchor is hot.
+    The columns: doc_id, crc (of the text), start, size, anchor, leads, and whether the anchor is hot. What is known to
+    be a copy does not meet its anchor's other segments, so they are as many as batches and different segments at most.
     """
-    rows = docs.select("doc_id", "text").mapInPandas(_scan, "doc_id long, anchor long, content long, spot long, size int")
-    same, all_ = Window.partitionBy("anchor", "content"), Window.partitionBy("anchor")
+    rows = docs.select("doc_id", "text").mapInPandas(
+        _scan, "doc_id long, anchor long, content long, spot long, size int, copy boolean"
+    )
     here = F.struct("doc_id", "spot")
-    # one shuffle, by anchor, serves all three windows
-    rows = rows.repartition("anchor").withColumns(
+    rows = rows.withColumn("place", F.when(F.col("copy"), F.xxhash64("doc_id", "spot")).otherwise(F.col("anchor")))
+    same, all_ = Window.partitionBy("place", "copy", "content"), Window.partitionBy("place", "copy")
+    # one shuffle serves all three windows
+    rows = rows.repartition("place").withColumns(
         {
-            "leads": here.eqNullSafe(F.min(here).over(same)),
+            "leads": ~F.col("copy") & here.eqNullSafe(F.min(here).over(same)),
             "several": F.min("content").over(all_) != F.max("content").over(all_),
         }
     )
