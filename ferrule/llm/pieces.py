@@ -32,8 +32,12 @@ SEED = 7
 SHARPNESS = 1.0
 #: Scale of the weights per character, which keeps sums in range.
 PER_CHARACTER = 30.0
+#: Weight of a character that goes by its bytes; it has no other edge.
+BYTES_WEIGHT = 1e-2
 #: Characters and rows that a task works on at a time, and leading bits that index its table of pieces.
 BLOCK = 1 << 18
+#: Blocks over which a task notes words that come again, and how many of them it keeps filtered.
+WARM_BLOCKS, KEPT_WORDS = 16, 1 << 16
 ROWS = 512
 TOP_BITS = 17
 SPACES = re.compile(r"[^ ] ")
@@ -64,13 +68,18 @@ class Lattice:
         self.longest = max(map(len, known))
         entries = {plain[:k] for plain in known for k in range(1, len(plain) + 1)}
         ids = np.array([known.get(e, (-1, 0.0))[0] for e in entries], np.int32)
-        weights = np.array([known.get(e, (-1, 0.0))[1] for e in entries])
+        self.piece_weights = np.zeros(len(self.bytes))
+        for ident, weight in known.values():
+            self.piece_weights[ident] = weight
         points = [np.frombuffer(e.encode("utf-32-le"), np.uint32).astype(np.uint64) for e in entries]
         up, down = power_tables(64)
         totals = np.array([((p + U64(1)) * up[: len(p)]).sum(dtype=np.uint64) for p in points], np.uint64)
         hashes = mix(totals + np.array([len(p) for p in points], np.uint64))
         order = np.argsort(hashes)
-        self.hashes, self.ids, self.weights = hashes[order], ids[order], weights[order]
+        self.hashes, self.ids = hashes[order], ids[order]
+        self.noted: set[int] = set()
+        self.common: dict[int, np.ndarray] = {}
+        self.blocks, self.kept = 0, None
         # where the entries of each leading bit pattern start: a search then looks at a few entries only
         self.first = np.searchsorted(self.hashes, np.arange(1 << TOP_BITS, dtype=np.uint64) << U64(64 - TOP_BITS))
         self.probes = int(np.diff(np.append(self.first, len(self.hashes))).max())
@@ -97,9 +106,8 @@ class Lattice:
         chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         n = len(chars)
         rows = np.concatenate([[0], np.cumsum(sizes)])
-        up, down = power_tables(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((chars.astype(np.uint64) + U64(1)) * up[:n], out=sums[1:])
+        _, down = power_tables(n)
+        sums = self._sums(chars)
         space = chars == 32
         opens = space.copy()
         opens[1:] &= ~space[:-1]
@@ -107,9 +115,52 @@ class Lattice:
         start = np.flatnonzero(opens)
         size = np.diff(np.append(start, n))
         names = mix((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
-        _, sample, word = np.unique(names, return_index=True, return_inverse=True)
-        ends = self._filtered(sums, down, chars, start[sample], size[sample])
-        return self._sampled(ends, chars, start, size, word, rows, seeds, bases)
+        named, sample, word = np.unique(names, return_index=True, return_inverse=True)
+        seeds = np.array(seeds, np.uint64) + (np.array(bases, np.int64) - rows[:-1]).astype(np.uint64) * U64(BASE)
+        shift = seeds[np.searchsorted(rows, start, side="right") - 1]
+        picked, present = np.zeros(n, np.int32), np.zeros(n, bool)
+        kept = np.full(len(named), -1)
+        if self.kept is not None:
+            spot = np.minimum(np.searchsorted(self.kept[0], named), len(self.kept[0]) - 1)
+            kept = np.where(self.kept[0][spot] == named, spot, -1)
+            own = np.flatnonzero(kept[word] >= 0)
+            self._sample(self.kept[1], kept[word[own]], start[own], size[own], shift[own], picked, present)
+        else:
+            self._remember(named, start[sample], size[sample], chars)
+        new = np.flatnonzero(kept < 0)
+        if len(new):
+            ends = self._filtered(sums, down, chars, start[sample[new]], size[sample[new]])
+            number = np.full(len(named), -1)
+            number[new] = np.arange(len(new))
+            own = np.flatnonzero(number[word] >= 0)
+            self._sample(ends, number[word[own]], start[own], size[own], shift[own], picked, present)
+        return self._collected(rows, picked, present)
+
+    def _remember(self, named, start, size, chars) -> None:
+        """Over the first blocks, note words that come again; then keep their filtered lattices for all later blocks."""
+        short = np.flatnonzero(size <= 64)
+        again = [i for i in short.tolist() if int(named[i]) in self.noted]
+        self.noted.update(named[short].tolist())
+        for i in again:
+            if len(self.common) < KEPT_WORDS:
+                self.common[int(named[i])] = chars[start[i] : start[i] + size[i]].copy()
+        self.blocks += 1
+        if self.blocks < WARM_BLOCKS and len(self.common) < KEPT_WORDS or not self.common:
+            return
+        names = np.array(sorted(self.common), np.uint64)
+        words = [self.common[int(k)] for k in names]
+        text, size = np.concatenate(words), np.array([len(w) for w in words])
+        _, down = power_tables(len(text))
+        sums = self._sums(text)
+        self.kept = (names, self._filtered(sums, down, text, np.cumsum(size) - size, size))
+        self.noted, self.common = set(), {}
+
+    @staticmethod
+    def _sums(chars: np.ndarray) -> np.ndarray:
+        up, _ = power_tables(len(chars))
+        sums = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum((chars.astype(np.uint64) + U64(1)) * up[: len(chars)], out=sums[1:])
+        return sums
 
     def _filtered(self, sums, down, chars, start, size):
         """Forward filter of distinct words: per node its incoming edges and their shares."""
@@ -118,7 +169,7 @@ class Lattice:
         offset = flat - np.repeat(start, size)
         left = np.repeat(size, size) - offset
         node = np.repeat(node0[:-1], size) + offset
-        here, edges = np.arange(len(flat)), []
+        here, parts = np.arange(len(flat)), []
         for length in range(1, self.longest + 1):
             here = here[left[here] >= length]
             if not len(here):
@@ -126,45 +177,46 @@ class Lattice:
             at = flat[here]
             found = self._find(mix((sums[at + length] - sums[at]) * down[at] + U64(length)))
             ids = np.where(found >= 0, self.ids[found], -1)
-            whole = ids >= 0
-            edges.append((node[here[whole]], np.full(whole.sum(), length), ids[whole], self.weights[found[whole]], offset[here[whole]] + length))
             if length == 1:  # a character without a piece: one edge of its bytes, told by a negative id
-                lone = here[~whole]
-                edges.append((node[lone], np.ones(len(lone), np.int64), -1 - chars[flat[lone]].astype(np.int64), np.full(len(lone), 1e-5), offset[lone] + 1))
+                whole, ids = here, np.where(ids >= 0, ids, -1 - chars[at].astype(np.int32))
+            else:
+                whole, ids = here[ids >= 0], ids[ids >= 0]
+            parts.append((whole, ids, np.full(len(ids), length, np.int8)))
             here = here[found >= 0]
-        begin, length, ids, weight, depth = (np.concatenate(x) for x in zip(*edges, strict=True))
-        order = np.lexsort((begin + length, depth)) if depth.max() >= 1 << 15 else np.argsort(depth.astype(np.int16), kind="stable")
-        begin, length, ids, weight, depth = begin[order], length[order], ids[order], weight[order], depth[order]
+        place, ids, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+        depth = offset[place] + length
+        end = node[place] + length
+        order = np.argsort(depth.astype(np.int16) if depth.max() < 1 << 15 else depth, kind="stable")
+        end, length, ids, depth = end[order], length[order], ids[order], depth[order]
+        begin, share = end - length, np.where(ids >= 0, self.piece_weights[np.maximum(ids, 0)], BYTES_WEIGHT)
         total = np.zeros(node0[-1])
         total[node0[:-1]] = 1.0
-        share = np.empty(len(begin))
         cuts = np.searchsorted(depth, np.arange(1, int(depth[-1]) + 2))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            end = begin[lo:hi] + length[lo:hi]
-            share[lo:hi] = total[begin[lo:hi]] * weight[lo:hi]
-            np.add.at(total, end, share[lo:hi])
-            if not 1e-100 < (top := total[end].max()) < 1e100:  # rescale what later positions still read
-                total /= top
-                share[lo:hi] /= top
-        end = begin + length
-        share /= total[end] if len(cuts) < 200 else np.bincount(end, share, minlength=len(total))[end]
-        order = np.argsort(end, kind="stable")
+        for at, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
+            share[lo:hi] *= total[begin[lo:hi]]
+            np.add.at(total, end[lo:hi], share[lo:hi])
+            if at % self.longest == 0:  # rescale, word by word, what later positions still read
+                last = node0[:-1][size >= at] + at
+                scale = total[last]
+                for back in range(self.longest):
+                    total[last - back] /= scale
+        share /= np.bincount(end, share, minlength=len(total))[end]  # a node's edges are all on one scale
+        # by node, then by length, without a sort: every node has a slot per length
+        slots = np.zeros(len(total) * self.longest, np.int32)
+        slots[end * self.longest + (length - 1)] = np.arange(1, len(end) + 1, dtype=np.int32)
+        order = slots[slots > 0] - 1
         degree = np.bincount(end, minlength=len(total))
         rank = np.cumsum(degree > 0) - 1  # nodes with edges, counted: each takes one unit of the running sum
         first = np.concatenate([[0], np.cumsum(degree)])
-        return node0, rank, first, np.cumsum(share[order]), length[order], ids[order]
+        return node0, rank, first, np.cumsum(share[order]), length[order].astype(np.int64), ids[order]
 
-    def _sampled(self, ends, chars, start, size, word, rows, seeds, bases):
+    @staticmethod
+    def _sample(ends, word, start, size, shift, picked, present) -> None:
         """Backward sampling of all words at once, a step being one piece of each word not yet through."""
         node0, rank, first, running, length, ids = ends
-        order = np.argsort(word, kind="stable")
-        at, node = (start + size)[order], (node0[word] + size)[order]
+        order = np.argsort(word, kind="stable")  # neighbours in the lattice are then neighbours in memory
+        at, node, shift = (start + size)[order], (node0[word] + size)[order], shift[order]
         done = node0[word][order]
-        row = np.searchsorted(rows, start, side="right")[order] - 1
-        shift = np.array(seeds, np.uint64) + (np.array(bases, np.int64) - rows[:-1]).astype(np.uint64) * U64(BASE)
-        shift = shift[row]
-        picked = np.zeros(len(chars), np.int64)
-        present = np.zeros(len(chars), bool)
         while len(at):
             draw = (mix(shift + at.astype(np.uint64) * U64(BASE)) >> U64(11)).astype(np.float64) * 2.0**-53
             edge = np.searchsorted(running, rank[node] + draw, side="right")
@@ -173,6 +225,9 @@ class Lattice:
             at, node = at - length[edge], node - length[edge]
             go = node > done
             at, node, done, shift = at[go], node[go], done[go], shift[go]
+
+    def _collected(self, rows, picked, present) -> list[np.ndarray]:
+        """The pieces of each text in order, characters without a piece by their bytes."""
         spot = np.flatnonzero(present)
         out, per_row = picked[spot], np.searchsorted(spot, rows)
         if len(lone := np.flatnonzero(out < 0)):
