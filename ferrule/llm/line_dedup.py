@@ -120,18 +120,19 @@ def deleted_lines(docs: DataFrame, min_weight: int = MIN_WEIGHT) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, min_weight: int = MIN_WEIGHT) -> DataFrame:
     """``docs`` with the later copies of runs of lines deleted from text, and how many lines went (``n_deleted``)."""
-    own = docs.withColumn("tid", F.xxhash64("text"))
-    gone = deleted_lines(docs, min_weight).select(F.col("doc_id").alias("_d"), F.col("tid").alias("_t"), "gone")
-    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t")), "left")
-    lines = F.split("text", "\n")
+    own = docs.select(F.struct(*docs.columns).alias("row"))  # no column of docs can clash with those of the join
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("tid"))
+    joined = own.join(deleted_lines(docs, min_weight), same, "left")
+    lines = F.split("row.text", "\n")
     # what lies between deleted lines is kept, in slices
     fences = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size(lines)))
     kept = F.transform(
         F.sequence(F.lit(1), F.size("gone") + 1),
         lambda i: F.slice(lines, F.element_at(fences, i) + 2, F.element_at(fences, i + 1) - F.element_at(fences, i) - 1),
     )
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(kept), "\n"))
-    return joined.withColumns({"text": text, "n_deleted": F.coalesce(F.size("gone"), F.lit(0))}).drop("_d", "_t", "tid", "gone")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.flatten(kept), "\n"))
+    out = {c: F.col("row").getField(c) for c in docs.columns} | {"text": text, "n_deleted": F.coalesce(F.array_size("gone"), F.lit(0))}
+    return joined.select(*[value.alias(c) for c, value in out.items()])
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
