@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from ferrule.llm.common import fresh_path
 
-OUTPUTS = ("size", "shard", "grown_shard", "bucket", "place")
+OUTPUTS = ("size", "shard", "grown_shard", "bucket", "place", "first_slot", "slot")
 SEED = 20_011
 
 
