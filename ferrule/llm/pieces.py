@@ -34,6 +34,8 @@ SHARPNESS = 1.0
 PER_CHARACTER = 30.0
 #: Weight of a character that goes by its bytes; it has no other edge.
 BYTES_WEIGHT = 1e-2
+#: Bits of a node's unit, which its edges share.
+SHARE_BITS = 36
 #: Characters and rows that a task works on at a time, and leading bits that index its table of pieces.
 BLOCK = 1 << 18
 #: Blocks over which a task notes words that come again, and how many of them it keeps filtered.
@@ -208,7 +210,11 @@ class Lattice:
         degree = np.bincount(end, minlength=len(total))
         rank = np.cumsum(degree > 0) - 1  # nodes with edges, counted: each takes one unit of the running sum
         first = np.concatenate([[0], np.cumsum(degree)])
-        return node0, rank, first, np.cumsum(share[order]), length[order].astype(np.int64), ids[order]
+        # whole numbers: a draw's outcome must not depend on what else is in the block, as rounded sums would
+        parts = (share[order] * (1 << SHARE_BITS)).astype(np.int64)
+        last = first[np.flatnonzero(degree) + 1] - 1
+        parts[last] += (1 << SHARE_BITS) - np.diff(np.cumsum(parts)[last], prepend=0)
+        return node0, rank, first, np.cumsum(parts), length[order].astype(np.int64), ids[order]
 
     @staticmethod
     def _sample(ends, word, start, size, shift, picked, present) -> None:
@@ -218,8 +224,8 @@ class Lattice:
         at, node, shift = (start + size)[order], (node0[word] + size)[order], shift[order]
         done = node0[word][order]
         while len(at):
-            draw = (mix(shift + at.astype(np.uint64) * U64(BASE)) >> U64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(running, rank[node] + draw, side="right")
+            draw = (mix(shift + at.astype(np.uint64) * U64(BASE)) >> U64(64 - SHARE_BITS)).astype(np.int64)
+            edge = np.searchsorted(running, (rank[node] << SHARE_BITS) + draw, side="right")
             edge = np.clip(edge, first[node], first[node + 1] - 1)
             picked[at - 1], present[at - 1] = ids[edge], True
             at, node = at - length[edge], node - length[edge]
