@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -302,14 +303,17 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, seed: int = SEED, id_col:
     rest = docs.drop("piece_ids")
     schema = T.StructType([*rest.schema, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model)
         for batch in batches:
             for lo in range(0, len(batch), ROWS):  # pieces take more room than texts: hand them on in small parts
-                part = batch.iloc[lo : lo + ROWS]
-                yield part.assign(piece_ids=own.encode(list(part[text_col]), list(part[id_col]), seed))
+                part = batch.slice(lo, ROWS)
+                ids = own.encode(part.column(text_col).to_pylist(), part.column(id_col).to_pylist(), seed)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                pieces = pa.ListArray.from_arrays(ends, np.concatenate(ids))
+                yield pa.RecordBatch.from_arrays([*part.columns, pieces], [*part.schema.names, "piece_ids"])
 
-    return rest.mapInPandas(run, schema)
+    return rest.mapInArrow(run, schema)
 
 
 def decode_pieces(encoded: DataFrame, model: str = MODEL, ids_col: str = "piece_ids") -> DataFrame:
