@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-import ferrule.plans.queries  # noqa: F401
+import ferrule.plans.code_queries  # noqa: F401  registers with it the other queries
 from ferrule.plans.registry import ORACLES, QUERIES
 
 
