@@ -149,9 +149,11 @@ def _probes(tagged: DataFrame, percent: int) -> DataFrame:
         F.max(F.struct(F.col("m"), F.col("component"), picked.alias("probes"))).alias("top"), F.count("*").alias("parts")
     ).where("parts > 1")
     out = tagged.join(main.select("value", "top"), "value").where("component <> top.component")
-    met = out.select(F.col("node").alias("a"), F.col("n").alias("an"), F.explode("top.probes").alias("p"))
-    fits = 100 * F.least(F.col("an"), F.col("p.n")) >= percent * F.greatest(F.col("an"), F.col("p.n"))
-    return met.where(fits).select("a", F.col("p.node").alias("b")).distinct()
+    # lists of one component name the same members: each is met once, however many lists name it
+    named = out.groupBy("node", "n").agg(F.array_distinct(F.flatten(F.collect_set("top.probes"))).alias("probes"))
+    fits = lambda p: 100 * F.least(F.col("n"), p["n"]) >= percent * F.greatest(F.col("n"), p["n"])
+    met = named.select(F.col("node").alias("a"), F.explode(F.filter("probes", fits)).alias("p"))
+    return met.select("a", F.col("p.node").alias("b"))
 
 
 #: A list whose members outside its main component could meet in more pairs than this is a long one.
