@@ -123,7 +123,9 @@ def drop_repeated_lines(docs: DataFrame, min_weight: int = MIN_WEIGHT) -> DataFr
     own = docs.select(F.struct(*docs.columns).alias("row"))  # no column of docs can clash with those of the join
     same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("tid"))
     joined = own.join(deleted_lines(docs, min_weight), same, "left")
-    lines = F.split("row.text", "\n")
+    # a column of its own, so that the slices below do not split the text again
+    joined = joined.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("row.text", "\n")))
+    lines = F.col("lines")
     # what lies between deleted lines is kept, in slices
     fences = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size(lines)))
     kept = F.transform(
