@@ -1,6 +1,7 @@
 """Control-flow graphs as edge tables.
 
-Function graphs are small; per function, reachability is a bounded array computation in a grouped Pandas function.
+Function graphs are small; per function, reachability is a bounded array computation in a grouped Pandas function,
+whose groups hold distinct edges only.
 Corpus graphs, such as call graphs, go by joins whose rounds are staged in the checkpoint folder.
 """
 
@@ -48,7 +49,7 @@ def scc(edges: DataFrame, fn: str) -> DataFrame:
         return out
 
     kind, node = edges.schema[fn].dataType.simpleString(), edges.schema["src"].dataType.simpleString()
-    return edges.select(fn, "src", "dst").groupBy(fn).applyInPandas(run, f"{fn} {kind}, node {node}, component {node}")
+    return edges.select(fn, "src", "dst").distinct().groupBy(fn).applyInPandas(run, f"{fn} {kind}, node {node}, component {node}")
 
 
 def dominators(adjacency: dict, root) -> dict:
@@ -70,7 +71,7 @@ def nesting(edges: DataFrame, roots: DataFrame, fn: str) -> DataFrame:
         return pd.DataFrame({fn: [key[0]], "nesting_depth": [max(len(d & branched) for d in doms.values())]})
 
     kind = edges.schema[fn].dataType.simpleString()
-    left, right = edges.select(fn, "src", "dst").groupBy(fn), roots.select(fn, "root").groupBy(fn)
+    left, right = edges.select(fn, "src", "dst").distinct().groupBy(fn), roots.select(fn, "root").groupBy(fn)
     return left.cogroup(right).applyInPandas(run, f"{fn} {kind}, nesting_depth long")
 
 

@@ -426,6 +426,12 @@ def _early_edges(spark, sf_dir) -> DataFrame:
     return refs.fallthrough_edges(first, "user_id", ["k"], "event_type")
 
 
+@query("scc_all_events")
+def scc_all_events(spark, sf_dir):
+    """As scc_per_function, over every event; its SQL stops at each user's sixth."""
+    return graph.scc(_edges(spark, sf_dir), "user_id")
+
+
 @query(
     "nesting_depth",
     """WITH RECURSIVE f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -442,8 +448,17 @@ def _early_edges(spark, sf_dir) -> DataFrame:
        GROUP BY p.user_id, p.v) GROUP BY user_id""",
 )
 def nesting_depth(spark, sf_dir):
-    roots = _events(spark, sf_dir).groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("root"))
-    return graph.nesting(_early_edges(spark, sf_dir), roots, "user_id")
+    return graph.nesting(_early_edges(spark, sf_dir), _roots(spark, sf_dir), "user_id")
+
+
+def _roots(spark, sf_dir) -> DataFrame:
+    return _events(spark, sf_dir).groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("root"))
+
+
+@query("nesting_all_events")
+def nesting_all_events(spark, sf_dir):
+    """As nesting_depth, over every event."""
+    return graph.nesting(_edges(spark, sf_dir), _roots(spark, sf_dir), "user_id")
 
 
 @query(
