@@ -266,6 +266,22 @@ def test_slots_must_agree(spark):
     assert got == {1}
 
 
+ALICE = "If Alice buys 12 apples and gives 5 of them to her brother, does Alice still have enough to bake the pie for school?"
+BOXES = "12 boxes are on the truck and the driver takes 12 pens from each of them before lunch, how many are left over?"
+SHORT = "If Alice buys 12 apples, does Alice eat the rest?"
+
+
+@pytest.mark.parametrize("lead", ["", "(a) ", "Q3) ", "3. ", "3) ", "7, ", "Bob said, ", "see page 4\n", "No. 5: ", "as Carol knows "])
+def test_numbered_and_lettered_copies_are_found(spark, lead):
+    items = {1: ALICE, 2: BOXES, 3: SHORT}
+    rows = [(i, f"text before it. {lead}{t} Then 9 more words follow") for i, t in items.items()]
+    other = {1: ALICE.replace("Alice", "Bob Jones").replace("12", "31"), 2: BOXES.replace("12", "40")}
+    rows += [(10 + i, f"{lead}{t}") for i, t in other.items()]
+    rows += [(20, lead + ALICE.replace("does Alice", "does Carol")), (21, lead + BOXES.replace("12 pens", "13 pens"))]
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert {(1, 1), (2, 2), (3, 3), (11, 1), (12, 2)} <= got and not {d for d, _ in got} & {20, 21}
+
+
 def test_benchmark_too_large_to_send_gives_equal_rows(spark, sf, monkeypatch):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     sent = {tuple(r) for r in contaminated(docs, items).collect()}
