@@ -1,12 +1,16 @@
 """Secret scans: fixed patterns, and guess costs of values in credential contexts.
 
-Three base kinds follow fixed patterns. Beside them, values in a wider credential context are priced: dynamic
-programming finds the cheapest segmentation of the value into dictionary words, dates, repeats, keyboard walks and
-brute-force spans, costs being log10 of the guesses. Values that cost ``MIN_COST`` or more and that no base span
-covers are added as spans of kind ``guess``; base spans always stay.
+Three base kinds follow fixed patterns. Beside them, values in a wider credential context are priced, the keyword being
+any part of an identifier: dynamic programming finds the cheapest segmentation of the value into dictionary words, dates,
+repeats, keyboard walks and brute-force spans, costs being log10 of the guesses. Values that cost ``MIN_COST`` or more and
+that no base span covers whole (but for closing punctuation) are added as spans of kind ``guess``; base spans always stay.
+
+The dictionary is ``WORDS`` with the words of the scanned table itself by the number of rows that hold them: words of 3 to
+32 letters in 2 rows or more, the ``COUNTED`` most frequent ones. What stands in a credential context is not counted, so
+that a secret which is copied often does not become a word.
 
 Offsets are code points, end exclusive. Edge cases: null and empty texts have no spans; ties of start go by kind as
-listed; every row is scanned on its own, so repeated rows repeat their result; values of any length are priced
+listed; beside the dictionary every row is scanned on its own, so repeated rows repeat their result; values of any length are priced
 whole; an empty table gives an empty result; further columns are carried unless they bear the name of an output.
 """
 
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm.common import table
@@ -33,20 +38,36 @@ ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "guess")
 #: Words without which neither pattern of an assignment can match.
 CONTEXT_WORDS = ("passw", "passphrase", "pwd", "secret", "token", "api", "credential", "login")
-CONTEXT = re.compile(
-    r"""(?i:\b(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|credentials?|login))["']?[\x20\t]*(?:[:=]|\bis\b)[\x20\t]*["']?([^\s"'<>,;]{6,})""",
-    re.ASCII,
-)
+_KEYWORDS = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|credential|login"
+KEYWORD = re.compile(f"(?i:{_KEYWORDS})", re.ASCII)
+#: The rest of an identifier behind its keyword: a plural, digits, _parts and camelCase parts.
+REST = re.compile(r"s?(?:[_-][A-Za-z0-9_-]*|[0-9][A-Za-z0-9_-]*|(?<=[a-z])[A-Z][A-Za-z0-9_-]*)?", re.ASCII)
+VALUE = re.compile(r"""["']?\]?[\x20\t]*(?:[:=]{1,2}>?|\bis\b:?)[\x20\t]*["']?([^\s"'<>,;]{6,})""", re.ASCII)
+CLOSING = ".)]}:`"
 MIN_COST = 9.0
 
 #: Common password words by rank.
 WORDS = (
     "password admin welcome dragon monkey letmein login master sunshine princess football shadow michael superman "
     "batman trustno hello freedom whatever secret summer winter spring autumn love test user guest root change "
-    "default access token server database example sample demo key pass my the your this is not company house"
+    "default access token server database example sample demo key pass my the your this is not company house "
+    # common words of prose about credentials
+    "required incorrect invalid correct wrong valid missing expired empty optional needed used unused set unset reset changed "
+    "stored saved sent given provided included encrypted hashed hidden visible public private shared unique unknown known "
+    "authentication authorization authenticated authorized unauthorized identification verification verified validation "
+    "account accounts username email address identifier client customer member session string number value values field "
+    "characters letters digits length minimum maximum security secure insecure safe strong weak protected disabled enabled "
+    "available unavailable accepted rejected denied granted allowed forbidden blocked locked unlocked revoked rotated refreshed "
+    "temporary permanent automatically manually always never usually currently already only also because before after when "
+    "case sensitive possible impossible necessary important different same generated created deleted removed replaced updated "
+    "service system computer network internet website browser application program software device machine please contact "
+    "support administrator manager bearer basic refresh placeholder undefined null none false true redacted removed confidential "
+    "successful unsuccessful failed failure error working broken forgotten lost stolen leaked compromised exposed written printed"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+RANK = {w: i + 1 for i, w in reversed([*enumerate(WORDS)])}
 LONGEST_WORD = max(map(len, WORDS))
+#: Most words of the table that are sent to tasks.
+COUNTED = 1 << 17
 #: Rows of the keyboard; a walk goes on to a neighbour in its row, either way.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:19|20)\d\d|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
@@ -78,7 +99,7 @@ def _repeat_ends(value: str) -> list[int]:
     return ends
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK, longest: int = LONGEST_WORD) -> float:
     """log10 of the guesses that the cheapest segmentation of the value takes."""
     low, n = value.lower(), len(value)
     if len(low) != n:
@@ -96,8 +117,8 @@ def guess_cost(value: str) -> float:
             best[end] = min(best[end], at + cost)
 
         offer(i + 1, _brute_cost(value[i]))
-        for end in range(i + 2, min(n, i + LONGEST_WORD) + 1):
-            if rank := RANK.get(low[i:end]):
+        for end in range(i + 2, min(n, i + longest) + 1):
+            if rank := ranks.get(low[i:end]):
                 shift = 0.0 if value[i:end] == low[i:end] else 0.3 if value[i + 1 : end] == low[i + 1 : end] else 1.0
                 offer(end, math.log10(rank + 1) + shift)
         if i in dates:
@@ -119,32 +140,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Values in a credential context that cost enough and that no base span covers."""
+def context_values(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each value behind an identifier that holds a keyword."""
+    at = 0
+    while key := KEYWORD.search(text, at):
+        at = REST.match(text, key.end()).end()  # keywords in the rest lead to the same value
+        if m := VALUE.match(text, at):
+            yield m.span(1)
+            at = m.start(1)
+
+
+def guess_spans(
+    text: str, base: list[tuple[int, int, int]], ranks: dict[str, int] = RANK, longest: int = LONGEST_WORD
+) -> list[tuple[int, int, int]]:
+    """Values in a credential context that cost enough and that no base span covers whole."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found = []
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        if not any(s < end and start < e for s, _, e in base) and guess_cost(m[1]) >= MIN_COST:
-            found.append((start, 3, end))
-    return found
+    found = {}
+    for start, end in context_values(text):
+        covered = any(s <= start < e and not text[e:end].strip(CLOSING) for s, _, e in base)
+        if end not in found and not covered and guess_cost(text[start:end], ranks, longest) >= MIN_COST:
+            found[end] = (start, 3, end)
+    return list(found.values())
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
+def word_ranks(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """``RANK`` with the words of the table by the number of rows that hold them, outside credential contexts."""
+    plain = F.regexp_replace(text_col, rf"(?i)(?:{_KEYWORDS})\S*+(?:\s++\S++){{0,2}}", " ")
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(plain), r"[^\p{L}]+"))).alias("word"))
+    counts = words.where(F.length("word").between(3, 32)).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counts.orderBy(F.desc("n"), "word").limit(COUNTED).collect()
+    ranks = {r.word: i + 1 for i, r in enumerate(rows)}
+    return ranks | {w: min(r, ranks.get(w, r)) for w, r in RANK.items()}
+
+
 def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: kind, start, end and, for guess spans, the cost of the value."""
     item = T.StructType(
         [T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("cost", T.DoubleType())]
     )
     rest = docs.drop("secrets")
+    sent = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col))
     schema = T.StructType([*rest.schema, T.StructField("secrets", T.ArrayType(item))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = sent.value
+        longest = max(map(len, ranks))
         for batch in batches:
             out = []
             for text in batch[text_col]:
@@ -152,8 +198,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 base = base_spans(text)
                 out.append(
                     [
-                        {"kind": KINDS[k], "start": s, "end": e, "cost": guess_cost(text[s:e]) if k == 3 else None}
-                        for s, k, e in sorted(base + guess_spans(text, base))
+                        {"kind": KINDS[k], "start": s, "end": e, "cost": guess_cost(text[s:e], ranks, longest) if k == 3 else None}
+                        for s, k, e in sorted(base + guess_spans(text, base, ranks, longest))
                     ]
                 )
             yield batch.assign(secrets=out)
@@ -163,8 +209,6 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Scan every whole text of ``documents`` and digest the spans."""
-    from pyspark.sql import functions as F
-
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))

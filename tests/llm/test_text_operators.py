@@ -128,6 +128,22 @@ def test_secret_scan_rows(spark):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+SECRETS = ["DB_PASSWORD=Xk93!fQz&81t", "user_token: Zq8#vLw2@pRx", "AUTH_TOKEN=k$9Vb!2nQz&7", "secret_key = Qv7!xTz@41Lm", "apiKeyProd: 'Wz5%kTq9!bXv'", 'config["password"] = "Jx4^mQz8&vLt"', "token: 0123456789abcdef!Qz9#kV"]
+PROSE = ["The password is incorrect.", "Your login is required", "token: authentication", "The secretary is somewhere", "A login is unavailable."]
+
+
+def test_secrets_in_identifiers_and_words_in_prose(spark):
+    rare = ["password is zanquiverto", "we met a zanquiverto in may", "the zanquiverto slept", "mind the zanquiverto"]
+    copied = ["login: wqzkvbtrnplm"] * 3
+    texts = [*SECRETS, *PROSE, *rare, *copied, "secret_" * 40_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.secrets if s.kind == "guess"] for r in secrets.scan_secrets(docs).collect()}
+    for i, text in enumerate(SECRETS):
+        assert len(got[i]) == 1 and text.rstrip("'\"").endswith(got[i][0]) and len(got[i][0]) >= 11, text
+    assert [got[i] for i in range(len(SECRETS), len(SECRETS) + len(PROSE) + len(rare))] == [[]] * (len(PROSE) + len(rare))
+    assert [got[len(texts) - k] for k in (2, 3, 4)] == [["wqzkvbtrnplm"]] * 3
+
+
 # --- media
 
 
