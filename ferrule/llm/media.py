@@ -33,8 +33,13 @@ SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067,
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH, FLAG_LACING, DEFAULT_DURATION = 0xE1, 0xB5, 0x9F, 0x6264, 0x9C, 0x23E383
 CLUSTER, CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+REFERENCE_BLOCK, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0xFB, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = frozenset((EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS))
+#: Elements beside and above clusters: any of them ends a body of unknown size, of a segment only the top ones.
+TOP = frozenset((EBML, SEGMENT))
+OUTER = TOP | {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS}
+ENDS = {SEGMENT: TOP, BLOCK_GROUP: OUTER | {BLOCK_GROUP, SIMPLE_BLOCK, CLUSTER_TIMESTAMP}}
 NO_LACE, XIPH_LACE, FIXED_LACE, EBML_LACE = 0, 2, 4, 6
 
 #: Layout of stored texts: bytes of a unit, of a packet; packets of a block; blocks of a cluster; samples a second.
@@ -173,17 +178,24 @@ def mux(payload: bytes) -> bytes:
 
 
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(ID, start and end of the body), depth first; bodies of unknown size reach to the end of what holds them."""
+    """(ID, start and end of the body), depth first; bodies of unknown size reach to the next element of their own or a
+    higher level at most, which their end as given does not know yet."""
+    held: list[tuple[int, frozenset]] = [(end, frozenset())]  # end of each open master, and what ends it before
     while at < end:
+        while at >= held[-1][0]:
+            held.pop()
         ident, at = read_id(data, at)
+        while ident in held[-1][1]:
+            held.pop()
         size, at, unknown = read_vint(data, at)
-        stop = end if unknown else at + size
-        if stop > end:
+        stop = held[-1][0] if unknown else at + size
+        if stop > held[-1][0]:
             raise ValueError(f"element {ident:x} at byte {at} is cut off")
         yield ident, at, stop
         if ident in MASTERS:
-            yield from elements(data, at, stop)
-        at = stop
+            held.append((stop, ENDS.get(ident, OUTER | {ident}) if unknown else frozenset()))
+        else:
+            at = stop
 
 
 def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]:
@@ -223,12 +235,17 @@ class Parsed:
 
 def demux(data: bytes) -> Parsed:
     got = Parsed()
-    time, block, entry, cue = 0, -1, 0, [0, 0]
+    time, block, entry, cue, group = 0, -1, 0, [0, 0], 0
     frame_ns: dict[int, int] = {}
+    parts: list[list[int]] = [[0, 1_000_000]]  # first packet and nanoseconds of a tick, per segment
+    later: list[int] = []  # nanoseconds of each packet behind its block
     try:
         for ident, at, end in elements(data, 0, len(data)):
             if ident == SEGMENT:
                 got.segment = at
+                parts.append([len(got.packets), 1_000_000])
+            elif ident == TIMESTAMP_SCALE:
+                parts[-1][1] = int.from_bytes(data[at:end], "big")
             elif ident == TRACK_NUMBER:
                 entry = int.from_bytes(data[at:end], "big")
             elif ident == DEFAULT_DURATION:
@@ -237,17 +254,23 @@ def demux(data: bytes) -> Parsed:
                 got.clusters += 1
             elif ident == CLUSTER_TIMESTAMP:
                 time = int.from_bytes(data[at:end], "big")
+            elif ident == BLOCK_GROUP:
+                group = len(got.packets)
+            elif ident == REFERENCE_BLOCK:
+                got.packets[group:] = [p._replace(keyframe=False) for p in got.packets[group:]]
             elif ident in (SIMPLE_BLOCK, BLOCK):
                 block += 1
                 track, spot, _ = read_vint(data, at)
                 relative, flags = struct.unpack_from(">hB", data, spot)
                 sizes, spot = lace_sizes(data, spot + 3, end, flags & 6)
                 for k, size in enumerate(sizes):
-                    stamp = time + relative + k * frame_ns.get(track, 0) // 1_000_000
+                    later.append(k * frame_ns.get(track, 0))
                     got.packets.append(
-                        Packet(track, stamp, ident == BLOCK or flags >= 128, got.clusters - 1, block, k, spot, size)
+                        Packet(track, time + relative, ident == BLOCK or flags >= 128, got.clusters - 1, block, k, spot, size)
                     )
                     spot += size
+                if ident == SIMPLE_BLOCK:
+                    group = len(got.packets)
             elif ident == CUE_TIME:
                 cue[0] = int.from_bytes(data[at:end], "big")
             elif ident == CUE_TRACK:
@@ -256,6 +279,11 @@ def demux(data: bytes) -> Parsed:
                 got.cues.append((cue[0], cue[1], int.from_bytes(data[at:end], "big")))
     except (ValueError, IndexError, struct.error) as e:
         got.fault = str(e)
+    # the scale of a segment may stand behind its clusters
+    for (first, scale), (last, _) in zip(parts, [*parts[1:], [len(got.packets), 0]], strict=True):
+        for i in range(first, last):
+            p = got.packets[i]
+            got.packets[i] = p._replace(timestamp=(p.timestamp * scale + later[i]) // 1_000_000)
     return got
 
 
@@ -268,17 +296,20 @@ PACKET_SCHEMA = [
     T.StructField("lace", T.LongType()),
     T.StructField("byte_offset", T.LongType()),
     T.StructField("byte_size", T.LongType()),
+    T.StructField("fault", T.StringType()),
 ]
 
 
 def packet_table(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """One row per packet of each file, with the file's id; files without packets give no rows."""
+    """One row per packet of each file, with the file's id and fault; files without packets give no rows, and their
+    faults stand in ``read_payloads``."""
     names = [f.name for f in PACKET_SCHEMA]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ident, data in zip(batch["file_id"], batch["media"], strict=True):
-                packets = pd.DataFrame(demux(bytes(data or b"")).packets, columns=names)
+                got = demux(bytes(data or b""))
+                packets = pd.DataFrame([(*p, got.fault) for p in got.packets], columns=names)
                 if len(packets):
                     packets.insert(0, "file_id", ident)
                     yield packets

@@ -168,6 +168,24 @@ def test_unknown_sizes_and_block_groups():
     assert media.demux(data[:-3]).fault and media.demux(b"\0\0").fault and not media.demux(b"").packets
 
 
+def test_scales_references_live_clusters_and_faults(spark):
+    simple = lambda t, frame: media.element(media.SIMPLE_BLOCK, media.vint(1) + struct.pack(">hB", t, 128) + frame)
+    block = media.element(media.BLOCK, media.vint(1) + struct.pack(">hB", 4, 0) + b"delta")
+    info = media.element(media.INFO, media.number(media.TIMESTAMP_SCALE, 500_000))
+    group = media.element(media.BLOCK_GROUP, block + media.element(media.REFERENCE_BLOCK, b"\xff"))
+    open_cluster = media.CLUSTER.to_bytes(4, "big") + b"\xff"
+    live = b"".join(open_cluster + media.number(media.CLUSTER_TIMESTAMP, 10 * n) + simple(2, b"key") for n in range(3000))
+    data = media.SEGMENT.to_bytes(4, "big") + b"\xff" + info + live + group
+    got = media.demux(data)
+    assert got.fault is None and got.clusters == 3000 and len(got.packets) == 3001
+    assert [(p.timestamp, p.keyframe, p.cluster) for p in got.packets[:3]] == [(1, True, 0), (6, True, 1), (11, True, 2)]
+    assert (got.packets[-1].timestamp, got.packets[-1].keyframe) == ((29_990 + 4) // 2, False)
+    files = spark.createDataFrame([(1, data), (2, data[:-3]), (4, None)], "id long, media binary")
+    rows = media.packet_table(files, "id").groupBy("id").agg({"byte_size": "count", "fault": "max"}).collect()
+    found = {r["id"]: (r["count(byte_size)"], r["max(fault)"] is not None) for r in rows}
+    assert found == {1: (3001, False), 2: (3000, True)}
+
+
 def test_texts_survive_storage(spark):
     rows = [(i, t, "c") for i, t in enumerate([*ODD, ODD[4], "z" * 192, "z" * 193])] + [(None, "n", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, media string")
