@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ferrule.session import checkpoint_dir
 
+#: Texts differ widely in length: a batch of a fixed number of rows has no bound of its own.
+BATCH_BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+SPARKS_DEFAULT = "67108864b"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,5 +30,19 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers hold by bytes, unless the session has set a bound itself."""
+    if spark.conf.get(BATCH_BYTES_KEY) == SPARKS_DEFAULT:
+        spark.conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
+
+
+def fresh_name(name: str, taken: list[str]) -> str:
+    """A column name that none of ``taken`` has, whatever their case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))

@@ -1,19 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, toxic and ordinary, hold Kneser-Ney continuation counts of words over labelled rows: in how many distinct
-contexts of two words a word follows. Copies and lines that many documents share thus count once. The larger class's
-counts are scaled to the smaller one's sum; both are discounted absolutely and give the discounted mass to one shared
-backoff, the continuation counts over one word in either class. Words below the discount are rare: both models know
-them through the shared counts alone, so they add no evidence. A text's score compares its two log-likelihoods,
-divided by n ** ``LENGTH_POWER`` of its n words, on a scale fitted to labelled rows that the counts left out.
+Two interpolated models, toxic and ordinary, give P(word | word before). Their counts are continuation counts over
+labelled rows: a pair counts its distinct words before it, a word its distinct two-word histories, so copies and lines
+that many texts share count once. The larger class's counts are scaled to the smaller one's. A count is discounted
+absolutely, by ``discount`` and by what both classes together let expect (with a share of ``MARGIN`` on top): a model
+keeps only what is its own. The discounted mass of a pair goes to the word's model, that of a word to one backoff both
+models share: in how many texts of the whole table a word occurs, whatever their label, itself discounted and evened out
+over all words. Rare expressions thus get nearly equal odds from both models, and a language or a source that is
+commoner in one class tells nothing.
+
+A text's score compares its two log-likelihoods per word, on a scale fitted to labelled rows that the counts left out;
+the discount is the one of ``DISCOUNTS`` with the least balanced error there.
 
 The classifier is fitted on a bounded sample: the ``SAMPLE_ROWS`` labelled rows that come first by a seeded hash of
-their id. The model that travels to the tasks holds only words above the discount, of which there are fewer than
-(words per sampled document) * 2 / ``RARE_SHARE``. Scoring reads every row and every whole text.
+their id. Kept words and pairs exceed the discount, so they are fewer than (words of the sample) / discount and are sent
+to the tasks. The backoff's counts and the scoring read every row and every whole text.
 
-Edge cases: null and empty texts have no words and get the score of a neutral text (below 0.5); a null id or label is
-no training row; of several rows or labels of one id the smallest text and the highest label train; without rows of
-both classes every score is 0; repeated rows are scored each; an empty table gives an empty result.
+Edge cases: null and empty texts have no words and score 0; a null id or label is no training row; of several rows or
+labels of one id the smallest text and the highest label train; without rows of both classes every score is 0; repeated
+rows are scored each; an empty table gives an empty result; columns named score or predicted give way to the outputs.
 """
 
 from __future__ import annotations
@@ -21,23 +26,23 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ferrule.llm.common import stage_table, table
+from ferrule.llm.common import bounded_batches, fresh_name, stage_table, table
 
-#: Bound of the training sample; every fourth of its rows sets the scale instead of being counted.
-SAMPLE_ROWS = 8_000
+#: Bound of the training sample; every fourth of its rows sets scale and discount instead of being counted.
+SAMPLE_ROWS = 12_000
 SCALE_PART = 4
-#: The discount, as a share of the toxic training documents: words with fewer contexts are left to the backoff.
-RARE_SHARE = 0.06
-LENGTH_POWER = 0.9
+#: Discounts to choose from, in contexts of the smaller class, and the margin over the expected count.
+DISCOUNTS = (1.0, 2.0, 4.0, 8.0)
+MARGIN = 0.2
 SHARED_DISCOUNT = 0.75
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W_]+")
 START = "<s>"
 
 
@@ -45,37 +50,41 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def words_in(text: Column) -> Column:
+    """The same words, in the JVM."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that labels are never learnt from."""
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each word of each text with the two words before it, once per batch and class."""
-    for batch in batches:
-        seen: set = set()
-        for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
-            words = words_of(text)
-            seen.update(zip(repeat(toxic), [START, START, *words], [START, *words], words, strict=False))
-        yield pd.DataFrame(list(seen), columns=["toxic", "h2", "h1", "w"])
+def kept(own: float, other: float, discount: float) -> float:
+    """What a model keeps of its count beside the other class's scaled one."""
+    return max(own - (own + other) / 2 * (1 + MARGIN) - discount, 0.0)
 
 
 class Model:
-    """Log-likelihood ratios: ``base`` for words that only the shared backoff knows, ``word`` what others add to it."""
+    """Evidence, as log ratios beyond ``base``: of words, of histories, and of pairs beyond those two."""
 
-    def __init__(self, base: float, word: dict[str, float]):
-        self.base, self.word = base, word
+    def __init__(self, base: float, word: dict[str, float], history: dict[str, float], pair: dict[tuple[str, str], float]):
+        self.base, self.word, self.history, self.pair = base, word, history, pair
         self.threshold, self.width = 0.0, 1.0
 
-    def normalised(self, text: str | None) -> float:
+    def log_ratio(self, text: str | None) -> float | None:
+        """log P(text | toxic) - log P(text | ordinary) per word; None without words."""
         words = words_of(text)
         if not words:
-            return 0.0
-        known = self.word
-        return (len(words) * self.base + sum(known[w] for w in words if w in known)) / len(words) ** LENGTH_POWER
+            return None
+        found = sum([self.word[w] for w in words if w in self.word])
+        for at in [i for i, h in enumerate(words[:-1], 1) if h in self.history]:
+            found += self.history[words[at - 1]] + self.pair.get((words[at - 1], words[at]), 0.0)
+        return self.base + found / len(words)
 
     def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, (self.normalised(text) - self.threshold) / self.width))))
+        ratio = self.log_ratio(text)
+        return 0.0 if ratio is None else 1 / (1 + math.exp(-max(-60.0, min(60.0, (ratio - self.threshold) / self.width))))
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -97,78 +106,144 @@ def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _class_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Continuation counts of both classes (n0, n1): of words (w), pairs (h, w) and histories (h)."""
+    words = rows.select("toxic", words_in(F.col("text")).alias("ws"))
+    padded = F.concat(F.array(F.lit(START)), "ws")
+    before = F.concat(F.array(F.lit(START), F.lit(START)), "ws")
+    n = F.size("ws")
+    each = words.where(n > 0).select(
+        "toxic", F.explode(F.arrays_zip(F.slice(before, F.lit(1), n).alias("h2"), F.slice(padded, F.lit(1), n).alias("h"), F.col("ws").alias("w"))).alias("c")
+    )
+    contexts = each.select("toxic", F.xxhash64("c.h2").alias("h2"), F.col("c.h").alias("h"), F.col("c.w").alias("w")).distinct()
+    both = [F.count_if(F.col("toxic") == k).alias(f"n{k}") for k in (0, 1)]
+    pairs = stage_table(contexts.groupBy("h", "w").agg(*both), "toxicity-pairs")
+    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in (0, 1)]
+    # a pair's row holds its histories of two words, so words and histories are sums over pairs
+    return pairs.groupBy("w").agg(*sums), pairs, pairs.groupBy("h").agg(*sums)
+
+
+def shared_counts(docs: DataFrame) -> DataFrame:
+    """(w, n): in how many texts of the whole table each word occurs."""
+    return docs.select(F.explode(F.array_distinct(words_in(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = stage_table(_training_rows(docs, labels), "toxicity-sample")
-    sizes = {r["toxic"]: r["n"] for r in rows.where("not scales").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        return None
-    contexts = rows.where("not scales").select("toxic", "text").mapInPandas(_contexts, "toxic int, h2 string, h1 string, w string")
-    contexts = stage_table(contexts.distinct(), "toxicity-contexts")
-    # continuation counts: of each class over two words, shared over one
-    counts = stage_table(
-        contexts.groupBy("w").agg(
-            F.count_if(F.col("toxic") == 0).alias("n0"),
-            F.count_if(F.col("toxic") == 1).alias("n1"),
-            F.countDistinct("h1").alias("shared"),
-        ),
-        "toxicity-counts",
-    )
-    k0, k1, n_words, n_shared = counts.agg(F.sum("n0"), F.sum("n1"), F.count("*"), F.sum("shared")).first()
-    if not k0 or not k1:
+    words, pairs, histories = _class_counts(rows.where("not scales").select("toxic", "text"))
+    words = stage_table(words, "toxicity-words")
+    n0, n1 = words.agg(F.sum("n0"), F.sum("n1")).first()
+    if not n0 or not n1:
         return None
-    ratio = k0 / k1  # scales the ordinary counts to the toxic ones' sum, k1
-    discount = max(1.0, RARE_SHARE * min(sizes[1], sizes[0] / ratio))
-    scaled = F.col("n0") / ratio
-    moved = counts.agg(
-        F.sum(F.least(scaled, F.lit(discount))), F.sum(F.least(F.col("n1").cast("double"), F.lit(discount)))
-    ).first()
-    spread = SHARED_DISCOUNT * n_words / (n_words + 1)  # the shared discount goes evenly to all words and one unseen
-
-    def log_ratio(n0: float, n1: float, shared: int) -> float:
-        backoff = (max(shared - SHARED_DISCOUNT, 0) + spread) / n_shared
-        p0, p1 = (max(n - discount, 0) + m * backoff for n, m in ((n0 / ratio, moved[0]), (n1, moved[1])))
-        return math.log(p1) - math.log(p0)
-
-    frequent = counts.where((scaled > discount) | (F.col("n1") > discount)).collect()
-    base = math.log(moved[1]) - math.log(moved[0])
-    model = Model(base, {r["w"]: log_ratio(r["n0"], r["n1"], r["shared"]) - base for r in frequent})
-    _set_scale(model, rows.where("scales").select("toxic", "text"))
-    return model
-
-
-def _set_scale(model: Model, rows: DataFrame) -> None:
-    """The threshold with the fewest errors on the rows kept for it, and the ordinary rows' spread as the unit."""
-
-    def measure(batches):
+    ratio = n0 / n1  # scales the ordinary counts to the toxic ones' sum
+    small, big = F.col("n1").cast("double"), F.col("n0") / F.lit(ratio)
+    own = F.greatest(small, big) - (small + big) / 2 * (1 + MARGIN)
+    found = {r["w"]: (r["n0"] / ratio, float(r["n1"])) for r in words.where(own > DISCOUNTS[0]).collect()}
+    # of a history that one class lacks, that class's model says nothing, and neither does the pair
+    rated = pairs.join(histories.select("h", F.col("n0").alias("h0"), F.col("n1").alias("h1")).where("h0 > 0 AND h1 > 0"), "h")
+    big = F.col("n0") / F.col("h0") * F.col("h1")
+    own = F.greatest(small, big) - (small + big) / 2 * (1 + MARGIN)
+    links = rated.where(own > DISCOUNTS[0]).select("h", "w", big.alias("o"), small.alias("t"), F.col("h1").cast("double").alias("of")).collect()
+    shared = stage_table(shared_counts(docs), "toxicity-shared")
+    n_words, n_shared = shared.agg(F.count("*"), F.sum("n")).first()
+    wanted = sorted({*found, *(r["w"] for r in links)})
+    named = docs.sparkSession.createDataFrame([(w,) for w in wanted], "w string")  # bounded by the sample, as stated above
+    seen = {r["w"]: r["n"] for r in shared.join(F.broadcast(named), "w").collect()}
+    spread = SHARED_DISCOUNT * n_words / (n_words + 1)  # goes evenly to all words and one unseen
+
+    def backoff(w: str) -> float:
+        return (max(seen.get(w, 0) - SHARED_DISCOUNT, 0) + spread) / n_shared
+
+    models = [_model(d, n1, found, links, backoff) for d in DISCOUNTS]
+    return _with_scale(models, rows.where("scales").select("toxic", "text"))
+
+
+def _model(discount: float, total: int, found: dict, links: list, backoff) -> Model:
+    """The log ratios at one discount; ``found`` and ``links`` hold scaled counts (ordinary, toxic)."""
+    own = {w: (kept(o, t, discount), kept(t, o, discount)) for w, (o, t) in found.items()}
+    own = {w: k for w, k in own.items() if k[0] or k[1]}
+    left = [1 - sum(k[c] for k in own.values()) / total for c in (0, 1)]
+    chance = lambda w, c: own.get(w, (0.0, 0.0))[c] / total + left[c] * backoff(w)
+    base = math.log(left[1] / left[0])
+    word = {w: math.log(chance(w, 1) / chance(w, 0)) - base for w in own}
+    held: dict[str, list] = {}
+    for r in links:
+        pair = (kept(r["o"], r["t"], discount) / r["of"], kept(r["t"], r["o"], discount) / r["of"])
+        if pair[0] or pair[1]:
+            held.setdefault(r["h"], []).append((r["w"], pair))
+    history, pair = {}, {}
+    for h, follow in held.items():
+        rest = [1 - sum(k[c] for _, k in follow) for c in (0, 1)]
+        history[h] = math.log(rest[1] / rest[0])
+        for w, k in follow:
+            full = math.log((k[1] + rest[1] * chance(w, 1)) / (k[0] + rest[0] * chance(w, 0)))
+            pair[h, w] = full - base - word.get(w, 0.0) - history[h]
+    return Model(base, word, history, pair)
+
+
+def _with_scale(models: list[Model], rows: DataFrame) -> Model:
+    """The model with the least balanced error on the rows kept for it, its threshold, and the ordinary rows' spread."""
+    schema = T.StructType([T.StructField("toxic", T.IntegerType()), *[T.StructField(f"x{i}", T.DoubleType()) for i in range(len(models))]])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "x": [model.normalised(t) for t in batch["text"]]})
-
-    got = rows.mapInPandas(measure, "toxic int, x double").toPandas().sort_values(["x", "toxic"])
-    x, y = got["x"].to_numpy(), got["toxic"].to_numpy()
-    if not len(x):
-        return
-    # errors if all up to i are called ordinary and all beyond toxic
-    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[0], np.cumsum(1 - y)])[-1] - np.concatenate([[0], np.cumsum(1 - y)])
-    edges = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
-    best = np.flatnonzero(errors == errors.min())
-    low, high = np.quantile(x, [0.25, 0.75])
-    model.threshold = max(float(edges[best[len(best) // 2]]), 1e-6)  # a text without words stays ordinary
-    model.width = max(float(high - low) / 2, 1e-6)
+            texts = batch.column("text").to_pylist()
+            ratios = [pa.array([m.log_ratio(t) for t in texts], pa.float64()) for m in models]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *ratios], schema.names)
+
+    got = rows.mapInArrow(measure, schema).toPandas()
+    best = None
+    for i, model in enumerate(models):
+        part = got[["toxic", f"x{i}"]].dropna().sort_values([f"x{i}", "toxic"])
+        y, x = part["toxic"].to_numpy(), part[f"x{i}"].to_numpy()
+        # toxic rows up to a cut, and ordinary ones beyond it, are the errors; a cut lies between different values
+        cuts = np.flatnonzero(np.diff(x) > 1e-9) + 1
+        if not len(cuts) or not y.any() or y.all():
+            continue
+        missed = np.cumsum(y)[cuts - 1] / y.sum()
+        alarms = 1 - np.cumsum(1 - y)[cuts - 1] / (1 - y).sum()
+        errors = missed + alarms
+        at = np.flatnonzero(errors == errors.min())
+        cut = cuts[at[len(at) // 2]]
+        low, high = np.quantile(x[y == 0], [0.05, 0.95])
+        if best is None or errors.min() < best[0]:
+            model.threshold, model.width = float(x[cut - 1] + x[cut]) / 2, max(float(high - low) / 2, 1e-4)
+            best = (errors.min(), model)
+    if best is None:  # no row of one class was left for the scale: evidence of any size counts
+        models[0].threshold, models[0].width = models[0].base + 1e-4, 1e-3
+    return best[1] if best else models[0]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from 0.5 on); only the text decides."""
+    bounded_batches(docs.sparkSession)
     model = fit(docs, labels)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     docs = docs.select(*names)
     if model is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+    return _scored(docs, model, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def _scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    schema = T.StructType([*docs.schema, T.StructField(name, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array((model.score(t) for t in batch.column("text").to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs``, all columns of any name, without the rows that are predicted toxic."""
+    bounded_batches(docs.sparkSession)
+    model = fit(docs, labels)
+    if model is None:
+        return docs
+    name = fresh_name("score", docs.columns)
+    return _scored(docs, model, name).where(F.col(name) < 0.5).drop(name)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
