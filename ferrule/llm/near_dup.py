@@ -12,8 +12,10 @@ components that are still different meet, all of them. Long lists that stay spli
 rarest shingles, where the threshold itself bounds what partners share; what is long even then is compared in blocks.
 
 Edge cases: null and empty texts have no set, no links, and are kept; shorter texts are one shingle; repeated rows and
-equal texts are one class, the smallest id names it; a null id never names a group of others; empty tables give empty
-results; further columns are carried by ``drop_near_duplicates``.
+equal texts are one class, the smallest id names it; rows without an id are compared like all others, the least id of
+their group names them, and of a group without any id the text with the least hash stays; different texts of one id are
+one document, linked with what either is linked with; ids are carried as they are, up to 64 bits; empty tables give
+empty results; further columns are carried by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import stage_table, table
+from ferrule.llm.common import bounded_batches, stage_table, table
 from ferrule.llm.graphs import components
 from ferrule.llm.hashing import shingle_set
 
@@ -34,31 +37,35 @@ SKETCH = 48
 SHARED = 20 / 48
 #: The estimate may fall short of the threshold by six standard deviations of a sketch.
 SLACK = 6 * (0.8 * 0.2 / SKETCH) ** 0.5
+#: Rows of sets that go back at a time; pairs of one representative that a copy of its set serves.
+ROWS, SPLIT = 256, 1024
 
 
-def _sketch_batches(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n": [len(s) for s in sets],
-                    # two fingerprints of the whole set: equal sets are one class
-                    "f1": [int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)) if len(s) else 0 for s in sets],
-                    "f2": [int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in sets],
-                    "sketch": [s[:SKETCH].astype(np.int64) for s in sets],
-                }
-            )
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    values = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64), pa.int64()))
+
 
-    return run
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): the key is the id, and for rows without one a hash of the text."""
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text")
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), two fingerprints of the set and its sketch, smallest unsigned values first."""
-    return docs.select("doc_id", "text").mapInPandas(
-        _sketch_batches(words), "doc_id long, n long, f1 long, f2 long, sketch array<long>"
-    )
+    """doc_id, key, n (set size), two fingerprints of the set and its sketch, smallest unsigned values first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            # two fingerprints of the whole set: equal sets are one class
+            f1 = [np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64) for s in sets]
+            f2 = [s.sum(dtype=np.uint64).astype(np.int64) for s in sets]
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _lists([s[:SKETCH] for s in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *made], ["doc_id", "key", "n", "f1", "f2", "sketch"])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, f1 long, f2 long, sketch array<long>"
+    return _keyed(docs).mapInArrow(run, schema)
 
 
 def prefix_postings(members: DataFrame, shared: float = SHARED) -> DataFrame:
@@ -84,24 +91,35 @@ def prefix_postings(members: DataFrame, shared: float = SHARED) -> DataFrame:
 def full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, vals): the whole shingle sets of the nodes, from their whole texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame(
-                {"node": batch["node"], "vals": [shingle_set(t, words).astype(np.int64) for t in batch["text"]]}
-            )
+            for at in range(0, len(batch), ROWS):  # sets take more room than texts: hand them on in small parts
+                part = batch.slice(at, ROWS)
+                sets = [shingle_set(t, words) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), _lists(sets)], ["node", "vals"])
+
+    texts = _keyed(docs).select(F.col("key").alias("node"), "text").join(nodes, "node")
+    return texts.mapInArrow(run, "node long, vals array<long>")
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
-    return texts.mapInPandas(run, "node long, vals array<long>")
+
+def _numbers(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, unsigned, and where each list starts (and the last one ends)."""
+    ends = column.offsets.to_numpy()
+    return column.values.to_numpy().view(np.uint64), ends
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; the union's sketch filters before."""
+    """The pairs (a, b) whose full sets reach the threshold; the union's sketch filters before.
+
+    Many pairs may share one b: its set is sent once per ``SPLIT`` of them, so that no task gets them all.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            (xs, xe), (ys, ye) = _numbers(batch.column("x")), _numbers(batch.column("y"))
             keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = x.view(np.uint64), y.view(np.uint64)
+            for i in range(len(batch)):
+                x, y = xs[xe[i] : xe[i + 1]], ys[ye[i] : ye[i + 1]]
                 union = np.union1d(x[:SKETCH], y[:SKETCH])[:SKETCH]
                 both = np.intersect1d(x[:SKETCH], y[:SKETCH], assume_unique=True)
                 if np.isin(both, union, assume_unique=True).sum() < (percent / 100 - SLACK) * len(union):
@@ -109,11 +127,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = pairs.select("a", "b")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
     left = sets.select(F.col("node").alias("a"), F.col("vals").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("vals").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    right = sets.select(F.col("node").alias("b"), F.col("vals").alias("y")).join(parts, "b")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    return dealt.join(left, "a").join(right, ["b", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _tagged(postings: DataFrame, comps: DataFrame) -> DataFrame:
@@ -211,11 +233,19 @@ def _linked_in_blocks(tagged: DataFrame, sets: DataFrame, percent: int) -> DataF
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    return _grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, chosen): ``chosen`` is the key of the one document that stands for its group."""
+    bounded_batches(docs.sparkSession)
     sketched = stage_table(sketches(docs, words), "sketches")
     classes = (
-        sketched.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("vals"))
+        sketched.where("n > 0")
+        .groupBy("f1", "f2", "n")
+        .agg(F.min("doc_id").alias("least"), F.coalesce(F.min("doc_id").cast("long"), F.min("key")).alias("node"), F.first("sketch").alias("vals"))
     )
-    postings = stage_table(prefix_postings(classes.where("node is not null")), "postings")
+    postings = stage_table(prefix_postings(classes), "postings")
     lists = postings.groupBy("value").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1")
     postings = stage_table(postings.join(lists, "value"), "lists")
     sets = stage_table(full_sets(docs, postings.select("node").distinct(), words), "sets")
@@ -240,20 +270,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     for more in found:
         links = links.unionByName(more)
     final = components(links)
-    named = classes.select("f1", "f2", "n", "node").join(final, "node", "left")
-    named = named.select("f1", "f2", "n", F.coalesce("component", "node").alias("component"))
-    return sketched.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"),
-    )
+    named = classes.select("f1", "f2", "n", "least", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # only components of several classes need their least id looked up; a class that stands alone has it
+    joint = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("node").alias("first"))
+    named = named.select("f1", "f2", "n", "component").join(joint, "component")
+    named = named.select("f1", "f2", "n", "component_id", F.coalesce(F.col("component_id").cast("long"), "first").alias("chosen"))
+    rows = sketched.select("doc_id", "key", F.col("n").alias("n_shingles"), "f1", "f2")
+    found = rows.where("n_shingles > 0").join(named.withColumnRenamed("n", "n_shingles"), ["f1", "f2", "n_shingles"])
+    alone = rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), F.col("key").alias("chosen"))
+    return found.select(*alone.columns).unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group stays, the one with the smallest id."""
-    gone = near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each group stays, the one with the smallest id; columns of any name are carried."""
+    gone = _grouped(docs.select("doc_id", "text"), words, percent).where("key <> chosen").select("key").distinct()
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"))
+    return own.join(gone, "key", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import table
+from ferrule.llm.common import bounded_batches, table
 from ferrule.llm.hashing import BASE, U64, power_tables, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,6 +42,11 @@ BLOCK = 1 << 18
 #: Blocks over which a task notes words that come again, and how many of them it keeps filtered.
 WARM_BLOCKS, KEPT_WORDS = 16, 1 << 16
 ROWS = 512
+#: Characters from which a word is filtered edge by edge: a pass over all words per position would cost more.
+LONG_WORD = 2048
+#: Words that are left at which sampling goes on one by one.
+FEW = 8
+MASK = (1 << 64) - 1
 TOP_BITS = 17
 SPACES = re.compile(r"[^ ] ")
 
@@ -194,15 +199,13 @@ class Lattice:
         begin, share = end - length, np.where(ids >= 0, self.piece_weights[np.maximum(ids, 0)], BYTES_WEIGHT)
         total = np.zeros(node0[-1])
         total[node0[:-1]] = 1.0
-        cuts = np.searchsorted(depth, np.arange(1, int(depth[-1]) + 2))
-        for at, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
-            share[lo:hi] *= total[begin[lo:hi]]
-            np.add.at(total, end[lo:hi], share[lo:hi])
-            if at % self.longest == 0:  # rescale, word by word, what later positions still read
-                last = node0[:-1][size >= at] + at
-                scale = total[last]
-                for back in range(self.longest):
-                    total[last - back] /= scale
+        word = np.repeat(np.arange(len(size)), size)[place[order]]
+        long = size[word] > LONG_WORD
+        for w in np.unique(word[long]):
+            own = np.flatnonzero(word == w)
+            share[own] = self._summed(begin[own] - node0[w], end[own] - node0[w], share[own], int(size[w]))
+        short = np.flatnonzero(~long) if long.any() else slice(None)
+        share[short] = self._summed_at_once(begin[short], end[short], share[short], depth[short], total, node0, size)
         share /= np.bincount(end, share, minlength=len(total))[end]  # a node's edges are all on one scale
         # by node, then by length, without a sort: every node has a slot per length
         slots = np.zeros(len(total) * self.longest, np.int32)
@@ -217,6 +220,35 @@ class Lattice:
         parts[last] += (1 << SHARE_BITS) - np.diff(np.cumsum(parts)[last], prepend=0)
         return node0, rank, first, np.cumsum(parts), length[order].astype(np.int64), ids[order]
 
+    def _summed(self, begin, end, share, size: int) -> list[float]:
+        """Edge weights times the sum of all paths to their start, of one long word, edge by edge."""
+        total, out, done = [1.0] + [0.0] * size, share.tolist(), 0
+        for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+            if b != done:
+                if done and done % self.longest == 0:  # rescale what later positions still read
+                    scale = total[done]
+                    for i in range(done - self.longest + 1, done + 1):
+                        total[i] /= scale
+                done = b
+            out[k] *= total[a]
+            total[b] += out[k]
+        return out
+
+    def _summed_at_once(self, begin, end, share, depth, total, node0, size) -> np.ndarray:
+        """The same for all words that are not long, position by position."""
+        if not len(depth):
+            return share
+        cuts = np.searchsorted(depth, np.arange(1, int(depth[-1]) + 2))
+        for at, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
+            share[lo:hi] *= total[begin[lo:hi]]
+            np.add.at(total, end[lo:hi], share[lo:hi])
+            if at % self.longest == 0:  # rescale, word by word, what later positions still read
+                last = node0[:-1][(size >= at) & (size <= LONG_WORD)] + at
+                scale = total[last]
+                for back in range(self.longest):
+                    total[last - back] /= scale
+        return share
+
     @staticmethod
     def _sample(ends, word, start, size, shift, picked, present) -> None:
         """Backward sampling of all words at once, a step being one piece of each word not yet through."""
@@ -225,6 +257,10 @@ class Lattice:
         at, node, shift = (start + size)[order], (node0[word] + size)[order], shift[order]
         done = node0[word][order]
         while len(at):
+            if len(at) <= FEW:  # the rest of very long words, one by one
+                for spot in zip(at.tolist(), node.tolist(), done.tolist(), shift.tolist(), strict=True):
+                    _walk(ends, *spot, picked, present)
+                return
             draw = (mix(shift + at.astype(np.uint64) * U64(BASE)) >> U64(64 - SHARE_BITS)).astype(np.int64)
             edge = np.searchsorted(running, (rank[node] << SHARE_BITS) + draw, side="right")
             edge = np.clip(edge, first[node], first[node + 1] - 1)
@@ -284,6 +320,24 @@ class Lattice:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "replace") if len(ids) else ""
 
 
+def _walk(ends, at: int, node: int, done: int, shift: int, picked, present) -> None:
+    """Backward sampling of one word; the same draws as for all words at once."""
+    _, rank, first, running, length, ids = ends
+    while node > done:
+        x = (shift + at * BASE) & MASK
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+        draw = (x ^ x >> 31) >> (64 - SHARE_BITS)
+        lo, hi = int(first[node]), int(first[node + 1])
+        wanted = (int(rank[node]) << SHARE_BITS) + draw
+        edge = lo
+        while edge < hi - 1 and running[edge] <= wanted:
+            edge += 1
+        picked[at - 1], present[at - 1] = ids[edge], True
+        step = int(length[edge])
+        at, node = at - step, node - step
+
+
 def _row_seed(key: object, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=8).digest(), "big")
 
@@ -298,19 +352,24 @@ def lattice(model: str) -> Lattice:
     return _lattices[model]
 
 
+def _encoded(batch: pa.RecordBatch, own: Lattice, seed: int, id_col: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], pa.ListArray]]:
+    """Parts of a batch with their pieces, which take more room than the texts."""
+    for lo in range(0, len(batch), ROWS):
+        part = batch.slice(lo, ROWS)
+        ids = own.encode(part.column(text_col).to_pylist(), part.column(id_col).to_pylist(), seed)
+        yield part, ids, pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate(ids))
+
+
 def encode_pieces(docs: DataFrame, model: str = MODEL, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``piece_ids``, sampled per row."""
+    bounded_batches(docs.sparkSession)
     rest = docs.drop("piece_ids")
     schema = T.StructType([*rest.schema, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model)
         for batch in batches:
-            for lo in range(0, len(batch), ROWS):  # pieces take more room than texts: hand them on in small parts
-                part = batch.slice(lo, ROWS)
-                ids = own.encode(part.column(text_col).to_pylist(), part.column(id_col).to_pylist(), seed)
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                pieces = pa.ListArray.from_arrays(ends, np.concatenate(ids))
+            for part, _, pieces in _encoded(batch, own, seed, id_col, text_col):
                 yield pa.RecordBatch.from_arrays([*part.columns, pieces], [*part.schema.names, "piece_ids"])
 
     return rest.mapInArrow(run, schema)
@@ -318,6 +377,7 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, seed: int = SEED, id_col:
 
 def decode_pieces(encoded: DataFrame, model: str = MODEL, ids_col: str = "piece_ids") -> DataFrame:
     """``encoded`` with ``decoded``, the text of its pieces."""
+    bounded_batches(encoded.sparkSession)
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
@@ -327,10 +387,27 @@ def decode_pieces(encoded: DataFrame, model: str = MODEL, ids_col: str = "piece_
     return encoded.withColumn("decoded", decode(ids_col))
 
 
+def round_trip(
+    docs: DataFrame, model: str = MODEL, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("piece_ids", "decoded")
+) -> DataFrame:
+    """``docs`` with the pieces of its texts and the text that decoding these pieces gives, in one pass and one worker."""
+    bounded_batches(docs.sparkSession)
+    schema = T.StructType([*docs.schema, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lattice(model)
+        for batch in batches:
+            for part, ids, pieces in _encoded(batch, own, seed, id_col, text_col):
+                decoded = pa.array((own.decode(i) for i in ids), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, pieces, decoded], [*part.schema.names, *names])
+
+    return docs.mapInArrow(run, schema)
+
+
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode_pieces(encode_pieces(docs))
+    both = round_trip(docs)
     return both.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
