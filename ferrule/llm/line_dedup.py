@@ -118,8 +118,8 @@ def deleted_lines(docs: DataFrame, min_weight: int = MIN_WEIGHT) -> DataFrame:
     return lines.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_weight: int = MIN_WEIGHT) -> DataFrame:
-    """``docs`` with the later copies of runs of lines deleted from text, and how many lines went (``n_deleted``)."""
+def drop_repeated_lines(docs: DataFrame, min_weight: int = MIN_WEIGHT, counted: str = "n_deleted") -> DataFrame:
+    """``docs`` with the later copies of runs of lines deleted from text, and how many lines went (``counted``)."""
     own = docs.select(F.struct(*docs.columns).alias("row"))  # no column of docs can clash with those of the join
     same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("tid"))
     joined = own.join(deleted_lines(docs, min_weight), same, "left")
@@ -133,7 +133,7 @@ def drop_repeated_lines(docs: DataFrame, min_weight: int = MIN_WEIGHT) -> DataFr
         lambda i: F.slice(lines, F.element_at(fences, i) + 2, F.element_at(fences, i + 1) - F.element_at(fences, i) - 1),
     )
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.flatten(kept), "\n"))
-    out = {c: F.col("row").getField(c) for c in docs.columns} | {"text": text, "n_deleted": F.coalesce(F.array_size("gone"), F.lit(0))}
+    out = {c: F.col("row").getField(c) for c in docs.columns} | {"text": text, counted: F.coalesce(F.array_size("gone"), F.lit(0))}
     return joined.select(*[value.alias(c) for c, value in out.items()])
 
 

@@ -19,12 +19,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ferrule.llm.common import table
+from ferrule.llm.common import bounded_batches, table
 
 #: Fixed element IDs of the container format.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -45,6 +46,8 @@ NO_LACE, XIPH_LACE, FIXED_LACE, EBML_LACE = 0, 2, 4, 6
 #: Layout of stored texts: bytes of a unit, of a packet; packets of a block; blocks of a cluster; samples a second.
 UNIT, PACKET, LACE, BLOCKS, RATE = 192, 960, 8, 30, 8_000
 PACKET_MS = 1000 * PACKET // RATE
+#: Rows that a task hands on at a time.
+ROWS = 512
 
 
 class Packet(NamedTuple):
@@ -204,6 +207,8 @@ def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
         return [end - at], at
     count, at = data[at] + 1, at + 1
     if lacing == FIXED_LACE:
+        if (end - at) % count:
+            raise ValueError(f"a lace at byte {at} does not divide into {count} equal frames")
         return [(end - at) // count] * count, at
     sizes: list[int] = []
     for k in range(count - 1):
@@ -235,7 +240,7 @@ class Parsed:
 
 def demux(data: bytes) -> Parsed:
     got = Parsed()
-    time, block, entry, cue, group = 0, -1, 0, [0, 0], 0
+    time, block, entry, lasting, cue, group = 0, -1, None, None, [0, 0], 0
     frame_ns: dict[int, int] = {}
     parts: list[list[int]] = [[0, 1_000_000]]  # first packet and nanoseconds of a tick, per segment
     later: list[int] = []  # nanoseconds of each packet behind its block
@@ -246,10 +251,19 @@ def demux(data: bytes) -> Parsed:
                 parts.append([len(got.packets), 1_000_000])
             elif ident == TIMESTAMP_SCALE:
                 parts[-1][1] = int.from_bytes(data[at:end], "big")
-            elif ident == TRACK_NUMBER:
-                entry = int.from_bytes(data[at:end], "big")
-            elif ident == DEFAULT_DURATION:
-                frame_ns[entry] = int.from_bytes(data[at:end], "big")
+            elif ident == TRACK_ENTRY:
+                entry, lasting = None, None
+            elif ident in (TRACK_NUMBER, DEFAULT_DURATION):  # in either order
+                if ident == TRACK_NUMBER:
+                    entry = int.from_bytes(data[at:end], "big")
+                else:
+                    lasting = int.from_bytes(data[at:end], "big")
+                if entry is not None and lasting is not None:
+                    frame_ns[entry] = lasting
+            elif ident == CUE_POINT:
+                cue = [0, 0]
+            elif ident == CUE_TRACK_POSITIONS:
+                cue[1] = 0
             elif ident == CLUSTER:
                 got.clusters += 1
             elif ident == CLUSTER_TIMESTAMP:
@@ -303,19 +317,21 @@ PACKET_SCHEMA = [
 def packet_table(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
     """One row per packet of each file, with the file's id and fault; files without packets give no rows, and their
     faults stand in ``read_payloads``."""
-    names = [f.name for f in PACKET_SCHEMA]
+    bounded_batches(files.sparkSession)
+    arrow = to_arrow_schema(T.StructType(PACKET_SCHEMA))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ident, data in zip(batch["file_id"], batch["media"], strict=True):
-                got = demux(bytes(data or b""))
-                packets = pd.DataFrame([(*p, got.fault) for p in got.packets], columns=names)
-                if len(packets):
-                    packets.insert(0, "file_id", ident)
-                    yield packets
+            for i, data in enumerate(batch.column("media").to_pylist()):
+                got = demux(data or b"")
+                if not got.packets:
+                    continue
+                columns = [pa.array(c, t) for c, t in zip(zip(*[(*p, got.fault) for p in got.packets], strict=True), arrow.types, strict=True)]
+                ids = batch.column("file_id").take(pa.array(np.full(len(got.packets), i)))
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["file_id", *arrow.names])
 
     source = files.select(F.col(id_col).alias("file_id"), F.col(media_col).alias("media"))
-    return source.mapInPandas(run, T.StructType([source.schema["file_id"], *PACKET_SCHEMA])).withColumnRenamed("file_id", id_col)
+    return source.mapInArrow(run, T.StructType([source.schema["file_id"], *PACKET_SCHEMA])).withColumnRenamed("file_id", id_col)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -324,62 +340,82 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return data + b" " * (UNIT * max(1, -(-len(data) // UNIT)) - len(data)), len(data)
 
 
-def store_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text but with n_bytes and the Matroska file that stores it."""
-    rest = docs.drop(*[c for c in ("n_bytes", "media") if c != text_col])
-    kept = [f for f in rest.schema if f.name != text_col]
-    schema = T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
+def _mapped(df: DataFrame, column: str, made: dict[str, T.DataType], make, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``make(value of column)`` as further columns (or None: null); all others pass as they are."""
+    bounded_batches(df.sparkSession)
+    rest = df.drop(*[c for c in made if c != column and c in df.columns])
+    kept = [f for f in rest.schema if f.name != column]
+    schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in made.items()]])
+    arrow = to_arrow_schema(T.StructType([T.StructField(n, t) for n, t in made.items()]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [payload_of(t) for t in batch[text_col]]
-            yield batch.drop(columns=text_col).assign(n_bytes=[n for _, n in made], media=[mux(p) for p, _ in made])
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                rows = [make(v) for v in part.column(column).to_pylist()]
+                new = [pa.array([r[n] for r in rows], arrow.field(n).type) for n in made]
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *new], [*[f.name for f in kept], *made])
+
+    return rest.mapInArrow(run, schema)
+
+
+_STORED = {"n_bytes": T.LongType(), "media": T.BinaryType()}
+_READ = {n: T.LongType() for n in ("payload_bytes", "tail_crc32", "media_bytes")} | {
+    n: T.StringType() for n in ("payload_sha256", "media_sha256", "feature", "fault")
+}
+
+
+def stored(text: str | None) -> dict:
+    payload, n = payload_of(text)
+    return {"n_bytes": n, "media": mux(payload)}
+
+
+def measured(data: bytes | None) -> dict:
+    """What a stored file holds, read back from its bytes."""
+    data = data or b""
+    got = demux(data)
+    payload = b"".join(data[p.offset : p.offset + p.size] for p in got.packets)
+    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    mark = CLUSTER.to_bytes(4, "big")
+    found = sum(data.startswith(mark, got.segment + at) for _, _, at in got.cues)  # cues that lead to a cluster
+    turns = int(np.count_nonzero(np.diff(np.signbit(x - int(x.mean()) if len(x) else x))))
+    feature = (
+        f"packets={len(got.packets)};clusters={got.clusters};cues={found};ms={1000 * len(payload) // RATE};"
+        f"sum={int(x.sum())};energy={int((x * x).sum())};crossings={turns}"
+    )
+    return {
+        "payload_bytes": len(payload),
+        "tail_crc32": zlib.crc32(payload[-16:]),
+        "media_bytes": len(data),
+        "payload_sha256": hashlib.sha256(payload).hexdigest(),
+        "media_sha256": hashlib.sha256(data).hexdigest(),
+        "feature": feature,
+        "fault": got.fault,
+    }
 
-    return rest.mapInPandas(run, schema)
+
+def store_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without its text but with n_bytes and the Matroska file that stores it."""
+    return _mapped(docs, text_col, _STORED, stored)
 
 
 def read_payloads(files: DataFrame, media_col: str = "media") -> DataFrame:
     """``files`` without the file but with its payload read back, digests, features of the samples and any fault."""
-    rest = files.drop("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "fault")
-    kept = [f for f in rest.schema if f.name != media_col]
-    schema = T.StructType(
-        kept
-        + [T.StructField(n, T.LongType()) for n in ("payload_bytes", "tail_crc32", "media_bytes")]
-        + [T.StructField(n, T.StringType()) for n in ("payload_sha256", "media_sha256", "feature", "fault")]
-    )
+    return _mapped(files, media_col, _READ, measured)
 
-    def measured(data: bytes) -> dict:
-        got = demux(data)
-        payload = b"".join(data[p.offset : p.offset + p.size] for p in got.packets)
-        x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-        mark = CLUSTER.to_bytes(4, "big")
-        found = sum(data.startswith(mark, got.segment + at) for _, _, at in got.cues)  # cues that lead to a cluster
-        turns = int(np.count_nonzero(np.diff(np.signbit(x - int(x.mean()) if len(x) else x))))
-        feature = (
-            f"packets={len(got.packets)};clusters={got.clusters};cues={found};ms={1000 * len(payload) // RATE};"
-            f"sum={int(x.sum())};energy={int((x * x).sum())};crossings={turns}"
-        )
-        return {
-            "payload_bytes": len(payload),
-            "tail_crc32": zlib.crc32(payload[-16:]),
-            "media_bytes": len(data),
-            "payload_sha256": hashlib.sha256(payload).hexdigest(),
-            "media_sha256": hashlib.sha256(data).hexdigest(),
-            "feature": feature,
-            "fault": got.fault,
-        }
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = pd.DataFrame([measured(bytes(m or b"")) for m in batch[media_col]], columns=[f.name for f in schema][len(kept) :])
-            yield pd.concat([batch.drop(columns=media_col).reset_index(drop=True), rows], axis=1)
 
-    return rest.mapInPandas(run, schema)
+def stored_and_read(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``read_payloads(store_texts(docs))`` in one worker: every file is written, then read from its bytes alone."""
+
+    def both(text: str | None) -> dict:
+        file = stored(text)
+        return {"n_bytes": file["n_bytes"]} | measured(file["media"])
+
+    return _mapped(docs, text_col, {"n_bytes": T.LongType()} | _READ, both)
 
 
 def op5_media_columns(spark, sf_dir: str) -> DataFrame:
     """Store every whole text of ``documents`` as Matroska and digest what is read back from the stored bytes."""
-    stored = store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return read_payloads(stored).select(
+    return stored_and_read(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
     )

@@ -21,12 +21,13 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ferrule.llm.common import table
+from ferrule.llm.common import bounded_batches, table
 
 #: Fixed patterns and least lengths of the base kinds, in their fixed order; ``guess`` comes last.
 ASSIGN = re.compile(
@@ -184,16 +185,19 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     item = T.StructType(
         [T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("cost", T.DoubleType())]
     )
+    bounded_batches(docs.sparkSession)
     rest = docs.drop("secrets")
     sent = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col))
     schema = T.StructType([*rest.schema, T.StructField("secrets", T.ArrayType(item))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(T.StructType([schema["secrets"]])).types[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = sent.value
         longest = max(map(len, ranks))
         for batch in batches:
             out = []
-            for text in batch[text_col]:
+            for text in batch.column(text_col).to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 out.append(
@@ -202,9 +206,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         for s, k, e in sorted(base + guess_spans(text, base, ranks, longest))
                     ]
                 )
-            yield batch.assign(secrets=out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], [*batch.schema.names, "secrets"])
 
-    return rest.mapInPandas(run, schema)
+    return rest.mapInArrow(run, schema)
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
