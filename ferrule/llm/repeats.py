@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ferrule.llm.common import stage_table, table
+from ferrule.llm.common import bounded_batches, stage_table, table
 from ferrule.llm.hashing import U64, mix, power_tables
 
 LENGTH, GRAM = 100, 20
@@ -82,38 +82,37 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Segments of all documents. Those equal to an earlier one of their batch are known to be copies (``copy``)."""
     for batch in batches:
         rows = []
-        null = batch["doc_id"].isna().to_numpy()
-        idents = batch["doc_id"].fillna(0).to_numpy(np.int64)
+        known, idents = batch["known"].to_numpy(bool), batch["ident"].to_numpy(np.int64)
         for k, text in enumerate(batch["text"]):
             data = (text or "").encode()
             got = segments(data)
             if n := len(got["start"]):
                 spot = got["start"] << 32 | zlib.crc32(data)
-                rows.append((np.full(n, idents[k]), np.full(n, null[k]), got["anchor"], got["content"], spot, got["size"]))
+                rows.append((np.full(n, idents[k]), np.full(n, known[k]), got["anchor"], got["content"], spot, got["size"]))
         if not rows:
             continue
-        ident, unknown, anchor, content, spot, size = (np.concatenate(c) for c in zip(*rows, strict=True))
-        order = np.lexsort((spot, ident, ~unknown, content))
+        ident, known, anchor, content, spot, size = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.lexsort((spot, ident, known, content))
         opens = np.concatenate([[True], content[order][1:] != content[order][:-1]])
         first = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
         copy = np.empty(len(order), bool)
-        copy[order] = (ident[order] != ident[first]) | (unknown[order] != unknown[first]) | (spot[order] != spot[first])
+        copy[order] = (ident[order] != ident[first]) | (known[order] != known[first]) | (spot[order] != spot[first])
         yield pd.DataFrame(
-            {"doc_id": pd.Series(ident).astype("Int64").mask(unknown), "anchor": anchor, "content": content, "spot": spot, "size": size, "copy": copy}
+            {"known": known, "ident": ident, "anchor": anchor, "content": content, "spot": spot, "size": size, "copy": copy}
         )
 
 
 def _classified(docs: DataFrame) -> DataFrame:
     """Segments that matter: copies of earlier ones, and first ones whose anchor has several different segments.
 
-    The columns: doc_id, crc (of the text), start, size, anchor, leads, and whether the anchor is hot. What is known to
+    The columns: known, ident, crc (of the text), start, size, anchor, leads, and whether the anchor is hot. What is known to
     be a copy does not meet its anchor's other segments, so they are as many as batches and different segments at most.
     """
-    rows = docs.select("doc_id", "text").mapInPandas(
-        _scan, "doc_id long, anchor long, content long, spot long, size int, copy boolean"
+    rows = docs.mapInPandas(
+        _scan, "known boolean, ident long, anchor long, content long, spot long, size int, copy boolean"
     )
-    here = F.struct("doc_id", "spot")
-    rows = rows.withColumn("place", F.when(F.col("copy"), F.xxhash64("doc_id", "spot")).otherwise(F.col("anchor")))
+    here = F.struct("known", "ident", "spot")
+    rows = rows.withColumn("place", F.when(F.col("copy"), F.xxhash64("known", "ident", "spot")).otherwise(F.col("anchor")))
     same, all_ = Window.partitionBy("place", "copy", "content"), Window.partitionBy("place", "copy")
     # one shuffle serves all three windows
     rows = rows.repartition("place").withColumns(
@@ -124,7 +123,8 @@ def _classified(docs: DataFrame) -> DataFrame:
     )
     rows = rows.where("not leads or several").withColumn("hot", F.count_if("leads").over(all_) > HOT)
     return rows.select(
-        "doc_id",
+        "known",
+        "ident",
         F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).alias("crc"),
         F.shiftright("spot", 32).cast("int").alias("start"),
         "size",
@@ -134,29 +134,34 @@ def _classified(docs: DataFrame) -> DataFrame:
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(known, ident, text): ids without nulls, which pandas would turn into floats; unknown ids sort first."""
+    return docs.select(
+        F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("ident"), F.coalesce("text", F.lit("")).alias("text")
+    )
+
+
 def _with_texts(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
     """Texts beside what is known of them; documents are told by id and CRC."""
-    known = per_doc.withColumnsRenamed({"doc_id": "_id", "crc": "_crc"})
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("crc", F.crc32("text"))
-    return texts.join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc")), how).drop("_id", "_crc")
+    return docs.withColumn("crc", F.crc32("text")).join(per_doc, ["known", "ident", "crc"], how)
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Bytes of the first segments of anchors that are not hot; of hot ones, hash and start of each window."""
     for batch in batches:
         out = []
-        for ident, crc, text, parts in zip(batch["doc_id"], batch["crc"], batch["text"], batch["parts"], strict=True):
+        for known, ident, crc, text, parts in zip(*(batch[c] for c in ("known", "ident", "crc", "text", "parts")), strict=True):
             data = text.encode()
             for p in parts:
                 piece = data[p["start"] : p["start"] + p["size"]]
                 if not p["hot"]:
-                    out.append((p["anchor"], ident, crc, p["start"], piece))
+                    out.append((p["anchor"], known, ident, crc, p["start"], piece))
                     continue
                 sums, down = _prefix_sums(np.frombuffer(piece, np.uint8))
                 n = len(piece) - LENGTH + 1
                 names = mix((sums[LENGTH:] - sums[:n]) * down[:n]).view(np.int64)
-                out += [(int(h), ident, crc, p["start"] + i, None) for i, h in enumerate(names)]
-        yield pd.DataFrame(out, columns=["key", "doc_id", "crc", "start", "piece"])
+                out += [(int(h), known, ident, crc, p["start"] + i, None) for i, h in enumerate(names)]
+        yield pd.DataFrame(out, columns=["key", "known", "ident", "crc", "start", "piece"])
 
 
 def lcp_intervals(depths: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -217,11 +222,9 @@ def _later_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         array = Occurrences(list(rows["piece"]))
         start = rows["start"].to_numpy()
-        # the rank of each piece's document, nulls first
-        rank = rows[["doc_id", "crc"]].assign(known=rows["doc_id"].notna(), at=0).groupby(
-            ["known", "doc_id", "crc"], dropna=False, sort=True
-        ).ngroup().to_numpy()
-        ident = pd.factorize(rows["doc_id"].fillna(-(2**62)), sort=True)[0]
+        # the rank of each piece's document, and of its id alone, unknown ids first
+        rank = rows.groupby(["known", "ident", "crc"], sort=True).ngroup().to_numpy()
+        ident = rows.groupby(["known", "ident"], sort=True).ngroup().to_numpy()
         later = []
         for windows, _ in array.groups():
             piece = array.piece[windows]
@@ -231,14 +234,14 @@ def _later_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             same = (rank[piece] == rank[piece[first]]) & (place == place[first])
             later.append(windows[~same])
         if not later:
-            return pd.DataFrame({"doc_id": [], "crc": [], "start": [], "size": []})
+            return pd.DataFrame({c: [] for c in ("known", "ident", "crc", "start", "size")})
         gone = np.unique(np.concatenate(later))
         piece, inside = array.piece[gone], array.inside[gone]
         opens = np.flatnonzero(np.concatenate([[True], (np.diff(piece) != 0) | (np.diff(inside) != 1)]))
         count = np.diff(np.append(opens, len(gone)))
         own = rows.iloc[piece[opens]]
         return pd.DataFrame(
-            {"doc_id": own["doc_id"].to_numpy(), "crc": own["crc"].to_numpy(), "start": start[piece[opens]] + inside[opens], "size": count + LENGTH - 1}
+            {c: own[c].to_numpy() for c in ("known", "ident", "crc")} | {"start": start[piece[opens]] + inside[opens], "size": count + LENGTH - 1}
         )
 
     held: list[pd.DataFrame] = []
@@ -258,23 +261,23 @@ def _later_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(pd.concat(held, ignore_index=True))
 
 
-_RUNS = "doc_id long, crc long, start long, size long"
+_RUNS = "known boolean, ident long, crc long, start long, size long"
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, crc, spans): per document with repeats, the starts and sizes of strings that also start earlier."""
+    """(known, ident, crc, spans): per keyed document with repeats, the starts and sizes of strings that also start earlier."""
     marked = stage_table(_classified(docs), "segments")
-    leaders = marked.where("leads").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("start", "size", "anchor", "hot")).alias("parts"))
-    edges = _with_texts(docs, leaders, "inner").mapInPandas(_edges, "key long, doc_id long, crc long, start long, piece binary")
+    leaders = marked.where("leads").groupBy("known", "ident", "crc").agg(F.collect_list(F.struct("start", "size", "anchor", "hot")).alias("parts"))
+    edges = _with_texts(docs, leaders, "inner").mapInPandas(_edges, "key long, known boolean, ident long, crc long, start long, piece binary")
     edges = stage_table(edges, "edges")
     met = edges.where("piece is not null").repartition("key").sortWithinPartitions("key").mapInPandas(_later_windows, _RUNS)
-    windows = edges.where("piece is null").select("key", "doc_id", "crc", "start").distinct()
-    here = F.struct("doc_id", "start", "crc")
+    windows = edges.where("piece is null").select("key", "known", "ident", "crc", "start").distinct()
+    here = F.struct("known", "ident", "start", "crc")
     firsts = windows.groupBy("key").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1")
-    hot = windows.join(firsts, "key").where(~here.eqNullSafe(F.col("first"))).select("doc_id", "crc", "start", F.lit(LENGTH).cast("long").alias("size"))
-    copies = marked.where("not leads").select("doc_id", "crc", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
+    hot = windows.join(firsts, "key").where(~here.eqNullSafe(F.col("first"))).select("known", "ident", "crc", "start", F.lit(LENGTH).cast("long").alias("size"))
+    copies = marked.where("not leads").select("known", "ident", "crc", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
     runs = copies.unionByName(met).unionByName(hot)
-    return runs.groupBy("doc_id", "crc").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("spans"))
+    return runs.groupBy("known", "ident", "crc").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("spans"))
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -295,15 +298,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for ident, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
+            for known, ident, text, spans in zip(*(batch[c] for c in ("known", "ident", "text", "spans")), strict=True):
                 data, runs = text.encode(), _merged(spans)
                 cuts = [0, *[x for r in runs for x in r], len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-                out.append((ident, len(data), [{"start": a, "end": b} for a, b in runs], kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "removed", "kept"])
-
-    joined = _with_texts(docs, repeated_spans(docs), "left")
-    return joined.mapInPandas(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+                out.append((known, ident, len(data), [{"start": a, "end": b} for a, b in runs], kept))
+            yield pd.DataFrame(out, columns=["known", "ident", "n_bytes", "removed", "kept"])
+
+    bounded_batches(docs.sparkSession)
+    rows = _keyed(docs)
+    joined = _with_texts(rows, repeated_spans(rows), "left")
+    found = joined.mapInPandas(run, "known boolean, ident long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    return found.select(F.when(F.col("known"), F.col("ident")).alias("doc_id"), "n_bytes", "removed", "kept")
 
 
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
