@@ -16,7 +16,7 @@ otherwise all windows of the documents are joined.
 
 Edge cases: null and empty texts have no windows; items of fewer tokens than a window are one window of their own
 length, items below ``LITERALS`` words are never matched; equal items count as the one with the smallest id; rows of
-one doc_id and different texts share a verdict; a null doc_id is never flagged; an empty benchmark flags nothing;
+one doc_id and different texts share a verdict; rows without an id are judged by their text; an empty benchmark flags nothing;
 texts of any length are read whole; further columns are carried.
 """
 
@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import stage_table, table
+from ferrule.llm.common import bounded_batches, stage_table, table
 from ferrule.llm.hashing import U64, mix, power_tables, run_hashes
 
 WINDOW, LITERALS, MATCHES = 8, 4, 6
@@ -132,8 +132,8 @@ class Template:
         ]
 
 
-_WINDOWS = "id long, plain boolean, size int, at int, hash long, slots array<string>, n_windows int"
-_NAMES = ["id", "plain", "size", "at", "hash", "slots", "n_windows"]
+_WINDOWS = "known boolean, id long, plain boolean, size int, at int, hash long, slots array<string>, n_windows int"
+_NAMES = ["known", "id", "plain", "size", "at", "hash", "slots", "n_windows"]
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _item_windows(items: DataFrame) -> DataFrame:
                     size = min(WINDOW, len(tokens))
                     hashes, good = t.windows(size, plain) if size else ([], [])
                     rows += [
-                        (ident, plain, size, int(i), int(hashes[i].astype(np.int64)), [] if plain else t.slots(i, size), int(np.sum(good)))
+                        (True, ident, plain, size, int(i), int(hashes[i].astype(np.int64)), [] if plain else t.slots(i, size), int(np.sum(good)))
                         for i in np.flatnonzero(good)
                     ]
                     if not np.any(good):  # too few words in the template: never matched
@@ -165,8 +165,8 @@ def _document_windows(docs: DataFrame, sizes: list[tuple[bool, int]], wanted: di
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for ident, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if not text or ident != ident:
+            for known, ident, text in zip(batch["known"], batch["doc_id"], batch["text"], strict=True):
+                if not text:
                     continue
                 t = Template(text.encode())
                 for plain, size in sizes:
@@ -175,12 +175,21 @@ def _document_windows(docs: DataFrame, sizes: list[tuple[bool, int]], wanted: di
                         spot = np.minimum(np.searchsorted(wanted[plain], hashes), len(wanted[plain]) - 1)
                         good &= wanted[plain][spot] == hashes
                     rows += [
-                        (ident, plain, size, int(i), int(hashes[i].astype(np.int64)), [] if plain else t.slots(i, size), 0)
+                        (known, ident, plain, size, int(i), int(hashes[i].astype(np.int64)), [] if plain else t.slots(i, size), 0)
                         for i in np.flatnonzero(good)
                     ]
             yield pd.DataFrame(rows, columns=_NAMES)
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, _WINDOWS)
+    return docs.mapInPandas(run, _WINDOWS)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(known, doc_id, text): rows without an id go by a hash of their text, so that no number passes as null."""
+    return docs.select(F.col("doc_id").isNotNull().alias("known"), _ident().alias("doc_id"), "text")
+
+
+def _ident() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
 #: Values that one value of the item may stand for: the one inside, or else what the first edge ends or begins with.
@@ -194,6 +203,13 @@ _AGREES = f"""inside IS NOT DISTINCT FROM inside_too AND exists({_CHOICES}, v ->
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_matches): documents that hold an item, copied or re-parameterised."""
+    found = _flagged(docs, items)
+    return found.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "item_id", "n_matches")
+
+
+def _flagged(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(known, doc_id, item_id, n_matches) of keyed documents."""
+    bounded_batches(docs.sparkSession)
     windows = stage_table(_item_windows(items.select("item_id", "text")), "item-windows")
     count, sizes = windows.agg(F.count("*"), F.collect_set(F.struct("plain", "size"))).first()
     wanted = None
@@ -201,11 +217,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         sent = windows.select("plain", "hash").toPandas()
         wanted = {p: np.unique(sent["hash"][sent["plain"] == p].to_numpy(np.int64).view(np.uint64)) for p in (False, True)}
     if not count:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_matches long")
-    found = _document_windows(docs, sorted(map(tuple, sizes)), wanted).drop("n_windows")
+        return docs.sparkSession.createDataFrame([], "known boolean, doc_id long, item_id long, n_matches long")
+    found = _document_windows(_keyed(docs), sorted(map(tuple, sizes)), wanted).drop("n_windows")
     found = found.withColumnsRenamed({"id": "doc_id", "at": "doc_at", "slots": "doc_slots"})
-    matches = found.join(windows.withColumnRenamed("id", "item_id"), ["plain", "size", "hash"])
-    diagonal = ["doc_id", "item_id", "plain", "place"]
+    matches = found.join(windows.drop("known").withColumnRenamed("id", "item_id"), ["plain", "size", "hash"])
+    diagonal = ["known", "doc_id", "item_id", "plain", "place"]
     pairs = matches.withColumn("place", F.col("doc_at") - F.col("at")).where(F.size("slots") == F.size("doc_slots"))
     # a window's own row (no value) and a row per slot, so that one pass over the documents serves both
     own = F.array(F.struct(F.concat(F.lit("@"), F.col("at").cast("string")).alias("slots"), F.lit(None).cast("string").alias("doc_slots")))
@@ -223,17 +239,19 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.max("n_windows").alias("n_windows"),
         F.bool_and(F.col("key").startswith("@") | F.expr(_AGREES)).alias("agrees"),
     )
-    sums = judged.where("agrees").groupBy("doc_id", "item_id", "plain").agg(
+    sums = judged.where("agrees").groupBy("known", "doc_id", "item_id", "plain").agg(
         F.sum("n").alias("n"), F.max("n").alias("longest"), F.max("n_windows").alias("n_windows")
     )
     standing = sums.where(f"if(plain, longest >= n_windows, n >= least({MATCHES}, n_windows))")
     matched = F.coalesce(F.max(F.when(~F.col("plain"), F.col("n"))), F.max("n")).alias("n_matches")
-    return standing.groupBy("doc_id", "item_id").agg(matched)
+    return standing.groupBy("known", "doc_id", "item_id").agg(matched)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs``, columns of any name, without the documents that hold a benchmark item."""
+    gone = _flagged(docs.select("doc_id", "text"), items).select("known", "doc_id").distinct()
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").isNotNull().alias("known"), _ident().alias("doc_id"))
+    return own.join(gone, ["known", "doc_id"], "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

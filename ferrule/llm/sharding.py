@@ -26,6 +26,8 @@ from ferrule.llm.common import fresh_path
 
 OUTPUTS = ("size", "shard", "grown_shard", "bucket", "place", "first_slot", "slot")
 SEED = 20_011
+#: Most buckets whose first slots are sent to the tasks (16 bytes each); at 16 MB a bucket that is 16 TB.
+SENT = 1 << 20
 
 
 def highest_hash_shard(key: Column, n_shards: int, seed: int = SEED) -> Column:
@@ -112,6 +114,8 @@ def write_shards(docs: DataFrame, path: str | None = None, **options) -> DataFra
     buckets = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = buckets.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
+    # a row per bucket: sent to the tasks, so that texts are not shuffled again, while that many rows are few
+    firsts = F.broadcast(firsts) if firsts.count() <= SENT else firsts
     return written.join(firsts, "bucket").withColumn("slot", F.col("first_slot") + F.col("place")).drop("first_slot")
 
 
