@@ -87,3 +87,15 @@ def characteristics(flags: list[tuple[str, Column]]) -> Column:
 def cap_references(refs: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
     """The first ``cap`` references of each candidate: the cap is the semantics of the operator."""
     return rank(refs, keys, [F.col(c) for c in order]).where(F.col("place") <= cap)
+
+
+def dequeued(ranked: DataFrame, aligned: int = 0, language_only: bool = False) -> DataFrame:
+    """The ranked candidates that are worked on: not finished, with a score, aligned enough, of a language if only such count."""
+    kept = ranked.where("NOT finished AND score <> 0")
+    kept = kept.where(F.col("is_language")) if language_only else kept
+    return kept.where(F.col("aligned") >= aligned) if aligned else kept
+
+
+def at_least(functions: DataFrame, least: float) -> DataFrame:
+    """Functions of enough confidence."""
+    return functions.where(F.col("confidence") >= least)

@@ -1,6 +1,6 @@
 """Control-flow graphs as edge tables.
 
-Function graphs are small; per function, reachability is a bounded array computation in a grouped Pandas function,
+Function graphs are small; per function, components and dominators are near-linear passes in a grouped Pandas function,
 whose groups hold distinct edges only.
 Corpus graphs, such as call graphs, go by joins whose rounds are staged in the checkpoint folder.
 """
@@ -13,22 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.operators.ranges import locate
 from ferrule.session import checkpoint_dir
 
 
-def reachable(adjacency: dict, root, without=None) -> set:
-    """Nodes reached from the root without passing one of them."""
-    if root == without:
-        return set()
-    seen, todo = {root}, [root]
-    while todo:
-        for nxt in adjacency.get(todo.pop(), ()):
-            if nxt != without and nxt not in seen:
-                seen.add(nxt)
-                todo.append(nxt)
-    return seen
-
-
 def _adjacency(rows: pd.DataFrame) -> dict:
     out = defaultdict(set)
     for a, b in zip(rows["src"], rows["dst"], strict=True):
@@ -36,15 +24,43 @@ def _adjacency(rows: pd.DataFrame) -> dict:
     return out
 
 
+def components_of(forward: dict, nodes: list) -> dict:
+    """Per node the least node of its strongly connected component, in time linear in the edges (Tarjan, without recursion)."""
+    index, low, named, stack = {}, {}, {}, []
+    for start in nodes:
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        todo = [(start, iter(forward.get(start, ())))]
+        while todo:
+            node, follow = todo[-1]
+            nxt = next(follow, None)
+            if nxt is None:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == index[node]:
+                    own = [stack.pop()]
+                    while own[-1] != node:
+                        own.append(stack.pop())
+                    named.update(dict.fromkeys(own, min(own)))
+            elif nxt not in index:
+                index[nxt] = low[nxt] = len(index)
+                stack.append(nxt)
+                todo.append((nxt, iter(forward.get(nxt, ()))))
+            elif nxt not in named:
+                low[node] = min(low[node], index[nxt])
+    return named
+
+
 def scc(edges: DataFrame, fn: str) -> DataFrame:
     """(fn, node, component): strongly connected components of each function, named by their least node."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        forward = _adjacency(rows)
         nodes = sorted(set(rows["src"]) | set(rows["dst"]))
-        reach = {n: reachable(forward, n) for n in nodes}
-        named = [(n, min(m for m in reach[n] if n in reach[m])) for n in nodes]
-        out = pd.DataFrame(named, columns=["node", "component"])
+        named = components_of(_adjacency(rows), nodes)
+        out = pd.DataFrame([(n, named[n]) for n in nodes], columns=["node", "component"])
         out.insert(0, fn, rows[fn].iloc[0])
         return out
 
@@ -52,11 +68,54 @@ def scc(edges: DataFrame, fn: str) -> DataFrame:
     return edges.select(fn, "src", "dst").distinct().groupBy(fn).applyInPandas(run, f"{fn} {kind}, node {node}, component {node}")
 
 
-def dominators(adjacency: dict, root) -> dict:
-    """Per reached node, the nodes that every path from the root to it passes (itself included)."""
-    every = reachable(adjacency, root)
-    cut = {d: every - reachable(adjacency, root, d) for d in every}
-    return {v: {d for d in every if v in cut[d]} for v in every}
+def dominator_tree(adjacency: dict, root) -> dict:
+    """Per node that the root reaches its immediate dominator (None for the root): fixpoint over the reverse postorder."""
+    order, seen, todo = [], {root}, [(root, iter(sorted(adjacency.get(root, ()))))]
+    while todo:
+        node, follow = todo[-1]
+        nxt = next(follow, None)
+        if nxt is None:
+            order.append(node)
+            todo.pop()
+        elif nxt not in seen:
+            seen.add(nxt)
+            todo.append((nxt, iter(sorted(adjacency.get(nxt, ())))))
+    order.reverse()
+    place = {n: i for i, n in enumerate(order)}
+    before = defaultdict(list)
+    for n in order:
+        for m in adjacency.get(n, ()):
+            before[m].append(n)
+    parent, changed = {root: root}, True
+    while changed:
+        changed = False
+        for n in order[1:]:
+            known = [m for m in before[n] if m in parent]
+            best = known[0]
+            for m in known[1:]:
+                while best != m:
+                    if place[m] > place[best]:
+                        m = parent[m]
+                    else:
+                        best = parent[best]
+            if parent.get(n) != best:
+                parent[n], changed = best, True
+    return parent | {root: None}
+
+
+def dominators(edges: DataFrame, roots: DataFrame, fn: str) -> DataFrame:
+    """(fn, node, parent): the dominator tree of each function; the root's parent is null, unreached nodes are left out."""
+    node = edges.schema["src"].dataType.simpleString()
+
+    def run(key, rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        tree = {} if starts.empty else dominator_tree(_adjacency(rows), starts["root"].iloc[0])
+        out = pd.DataFrame(list(tree.items()), columns=["node", "parent"], dtype=object)
+        out.insert(0, fn, key[0])
+        return out
+
+    kind = edges.schema[fn].dataType.simpleString()
+    left, right = edges.select(fn, "src", "dst").distinct().groupBy(fn), roots.select(fn, "root").groupBy(fn)
+    return left.cogroup(right).applyInPandas(run, f"{fn} {kind}, node {node}, parent {node}")
 
 
 def nesting(edges: DataFrame, roots: DataFrame, fn: str) -> DataFrame:
@@ -67,14 +126,50 @@ def nesting(edges: DataFrame, roots: DataFrame, fn: str) -> DataFrame:
             return pd.DataFrame({fn: [], "nesting_depth": []})
         forward = _adjacency(rows)
         branched = {s for n, out in forward.items() if len(out) > 1 for s in out}
-        doms = dominators(forward, starts["root"].iloc[0])
-        return pd.DataFrame({fn: [key[0]], "nesting_depth": [max(len(d & branched) for d in doms.values())]})
+        tree, depth = dominator_tree(forward, starts["root"].iloc[0]), {None: 0}
+        for node in tree:
+            path = []
+            while node not in depth:
+                path.append(node)
+                node = tree[node]
+            for n in reversed(path):
+                depth[n] = depth[tree[n]] + (n in branched)
+        return pd.DataFrame({fn: [key[0]], "nesting_depth": [max(depth.values())]})
 
     kind = edges.schema[fn].dataType.simpleString()
     left, right = edges.select(fn, "src", "dst").distinct().groupBy(fn), roots.select(fn, "root").groupBy(fn)
     return left.cogroup(right).applyInPandas(run, f"{fn} {kind}, nesting_depth long")
 
 
+def containing(points: DataFrame, blocks: DataFrame, at: str, fn: str) -> DataFrame:
+    """``points`` (fn, at) with ``block``, the start of the function's block that holds them, or null."""
+    found = locate(points, blocks.select(fn, "start"), at, "start", (fn,))
+    ends = blocks.select(fn, F.col("start").alias("located"), "end")
+    inside = found.join(ends, [fn, "located"], "left")
+    return inside.withColumn("block", F.when(F.col(at) < F.col("end"), F.col("located"))).drop("located", "end")
+
+
+def normalised_cfg(blocks: DataFrame, edges: DataFrame, handlers: DataFrame, fn: str) -> DataFrame:
+    """(fn, src, dst), dst null for nodes without successors: ordinary edges of blocks and those to exception handlers.
+
+    ``handlers``: fn, start, end of the guarded range, target. A target inside a block counts as that block; a target in
+    none is a node of its own.
+    """
+    aimed = containing(handlers.withColumnsRenamed({"start": "lo", "end": "hi"}), blocks, "target", fn)
+    aimed = aimed.withColumn("dst", F.coalesce("block", "target"))
+    guarded = blocks.join(aimed.select(fn, "lo", "hi", "dst"), fn).where("lo < end AND start < hi").select(fn, F.col("start").alias("src"), "dst")
+    own = edges.join(blocks.select(fn, F.col("start").alias("src")), [fn, "src"], "left_semi").select(fn, "src", "dst")
+    every = own.unionByName(guarded).distinct()
+    nodes = blocks.select(fn, F.col("start").alias("src")).unionByName(aimed.select(fn, F.col("dst").alias("src"))).distinct()
+    return nodes.join(every, [fn, "src"], "left")
+
+
+def cfg_roots(functions: DataFrame, blocks: DataFrame, fn: str) -> DataFrame:
+    """(fn, root): the block at a function's address, or else the one that holds it; none, no row."""
+    found = containing(functions.select(fn, F.col(fn).alias("entry")), blocks, "entry", fn)
+    return found.where("block is not null").select(fn, F.col("block").alias("root"))
+
+
 def closure(edges: DataFrame, rounds: int) -> DataFrame:
     """(src, dst, depth): nodes reached in at most ``rounds`` steps, with the least number of steps."""
     checkpoint_dir(edges.sparkSession)

@@ -66,3 +66,49 @@ def tailcalls(jumps: DataFrame, extents: DataFrame, bucket: int) -> DataFrame:
 def reference_counts(refs: DataFrame, fn: str, kind: str, kinds: list[str]) -> DataFrame:
     """References of each kind per function, a column per kind; the kinds are stated, so no extra pass finds them."""
     return refs.groupBy(fn).pivot(kind, kinds).count().na.fill(0, kinds)
+
+
+def without_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:
+    """Edges less those listed as (src, dst)."""
+    return edges.join(removed.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+
+
+def all_successors(normal: DataFrame, exceptional: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, src, successors): sorted, distinct targets of ordinary and exceptional edges."""
+    every = normal.select(*keys, "src", "dst").unionByName(exceptional.select(*keys, "src", "dst"))
+    return every.groupBy(*keys, "src").agg(F.array_sort(F.collect_set("dst")).alias("successors"))
+
+
+def call_conflicts(calls: DataFrame, instructions: DataFrame, bucket: int = 64) -> DataFrame:
+    """Calls (src, dst) into the inside of an instruction (start, end): (src, dst, start)."""
+    from ferrule.operators.ranges import range_join
+
+    return range_join(calls, instructions, "dst", bucket).where("dst <> start").select("src", "dst", "start")
+
+
+def is_code(points: DataFrame, instructions: DataFrame, at: str, bucket: int = 64) -> DataFrame:
+    """The points that lie on a byte of an instruction (start, end)."""
+    from ferrule.operators.ranges import range_join
+
+    held = range_join(points.select(at).distinct(), instructions, at, bucket).select(at).distinct()
+    return points.join(held, at, "left_semi")
+
+
+def data_refs(instructions: DataFrame, base: Column, size: Column) -> DataFrame:
+    """(binary_id, src, dst): hexadecimal operands of instructions that name an address of the image, calls and jumps left out."""
+    from ferrule.operators.escapes import CALL_JUMP
+
+    found = F.regexp_extract_all("operands", F.lit("0x([0-9a-fA-F]{1,15})(?![0-9a-fA-F])"), F.lit(1))
+    rows = instructions.where(~base_mnemonic(F.col("mnemonic")).rlike(CALL_JUMP)).select(
+        "binary_id", F.col("addr").alias("src"), base.alias("_b"), size.alias("_n"), F.explode(F.array_distinct(found)).alias("d")
+    )
+    rows = rows.withColumn("dst", F.conv("d", 16, 10).cast("long"))
+    return rows.where("dst >= _b AND dst < _b + _n").select("binary_id", "src", "dst").distinct()
+
+
+def split_at_entries(instructions: DataFrame, entries: DataFrame, fn: str) -> DataFrame:
+    """``instructions`` with ``part``, the start of the piece of their function: stated entries (addr) open a new one."""
+    known = entries.select("addr", F.lit(True).alias("_entry")).distinct()
+    order = Window.partitionBy(fn).orderBy("addr")
+    rows = instructions.join(known, "addr", "left")
+    return rows.withColumn("part", F.coalesce(F.max(F.when(F.col("_entry"), F.col("addr"))).over(order), F.first("addr").over(order))).drop("_entry")

@@ -36,11 +36,12 @@ def language_score(evidence: dict[str, Column]) -> Column:
 
 
 #: Fixed aliases of language names.
-LANGUAGE_ALIASES = {"cil": ".net", "dotnet": ".net", "delphi_kb_file": "delphi", "c/asm": "c", "cpp": "c++"}
+LANGUAGE_ALIASES = {"cil": ".net", "delphi_kb_file": "delphi"}
 
 
 def canonical_language(name: Column) -> Column:
-    low, out = F.lower(name), None
+    low = F.lower(F.trim(name))
+    out = low
     for alias, plain in LANGUAGE_ALIASES.items():
-        out = F.when(low == alias, plain) if out is None else out.when(low == alias, plain)
-    return out.otherwise(low)
+        out = F.when(low == alias, plain).otherwise(out)
+    return out

@@ -408,34 +408,22 @@ def language_scores(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.language_score(scores).alias("guess"))
 
 
-@query(
-    "scc_per_function",
-    """WITH RECURSIVE f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-            e AS (SELECT a.user_id, a.event_type AS src, b.event_type AS dst FROM f a JOIN f b ON a.user_id = b.user_id AND b.k = a.k + 1 WHERE b.k <= 6),
+SCC_SQL = """WITH RECURSIVE f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+            e AS (SELECT DISTINCT a.user_id, a.event_type AS src, b.event_type AS dst FROM f a JOIN f b ON a.user_id = b.user_id AND b.k = a.k + 1),
             n AS (SELECT user_id, src AS v FROM e UNION SELECT user_id, dst FROM e),
             r AS (SELECT user_id, v AS src, v AS dst FROM n UNION SELECT r.user_id, r.src, e.dst FROM r JOIN e ON e.user_id = r.user_id AND e.src = r.dst)
-       SELECT a.user_id, a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.user_id = b.user_id AND a.src = b.dst AND a.dst = b.src GROUP BY ALL""",
-)
-def scc_per_function(spark, sf_dir):
-    return graph.scc(_early_edges(spark, sf_dir), "user_id")
-
+       SELECT a.user_id, a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.user_id = b.user_id AND a.src = b.dst AND a.dst = b.src GROUP BY ALL"""
 
-def _early_edges(spark, sf_dir) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    first = _events(spark, sf_dir).withColumn("k", F.row_number().over(order)).where("k <= 6")
-    return refs.fallthrough_edges(first, "user_id", ["k"], "event_type")
 
-
-@query("scc_all_events")
-def scc_all_events(spark, sf_dir):
-    """As scc_per_function, over every event; its SQL stops at each user's sixth."""
+@query("scc_per_function", SCC_SQL)
+@query("scc_all_events", SCC_SQL)
+def scc_per_function(spark, sf_dir):
+    """Components of each user's whole graph; registered under both names it has had."""
     return graph.scc(_edges(spark, sf_dir), "user_id")
 
 
-@query(
-    "nesting_depth",
-    """WITH RECURSIVE f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-            e AS (SELECT DISTINCT a.user_id, a.event_type AS src, b.event_type AS dst FROM f a JOIN f b ON a.user_id = b.user_id AND b.k = a.k + 1 WHERE b.k <= 6),
+NESTING_SQL = """WITH RECURSIVE f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+            e AS (SELECT DISTINCT a.user_id, a.event_type AS src, b.event_type AS dst FROM f a JOIN f b ON a.user_id = b.user_id AND b.k = a.k + 1),
             q AS (SELECT user_id, event_type AS root FROM f WHERE k = 1),
             n AS (SELECT user_id, src AS v FROM e UNION SELECT user_id, dst FROM e),
             d AS (SELECT n.user_id, n.v AS cut, q.root AS at FROM n JOIN q USING (user_id) WHERE n.v <> q.root UNION
@@ -445,22 +433,19 @@ def scc_all_events(spark, sf_dir):
             p AS (SELECT n.user_id, n.v, c.v AS dom FROM n JOIN n c ON c.user_id = n.user_id
                   WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = n.user_id AND d.cut = c.v AND d.at = n.v))
        SELECT user_id, max(k) AS nesting_depth FROM (SELECT p.user_id, p.v, count(b.v) AS k FROM p LEFT JOIN b ON b.user_id = p.user_id AND b.v = p.dom
-       GROUP BY p.user_id, p.v) GROUP BY user_id""",
-)
+       GROUP BY p.user_id, p.v) GROUP BY user_id"""
+
+
+@query("nesting_depth", NESTING_SQL)
+@query("nesting_all_events", NESTING_SQL)
 def nesting_depth(spark, sf_dir):
-    return graph.nesting(_early_edges(spark, sf_dir), _roots(spark, sf_dir), "user_id")
+    return graph.nesting(_edges(spark, sf_dir), _roots(spark, sf_dir), "user_id")
 
 
 def _roots(spark, sf_dir) -> DataFrame:
     return _events(spark, sf_dir).groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("root"))
 
 
-@query("nesting_all_events")
-def nesting_all_events(spark, sf_dir):
-    """As nesting_depth, over every event."""
-    return graph.nesting(_edges(spark, sf_dir), _roots(spark, sf_dir), "user_id")
-
-
 @query(
     "closure_depth",
     """WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_regionkey AS BIGINT) AS dst FROM nation),

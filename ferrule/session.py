@@ -23,8 +23,13 @@ def local_session(name: str = "ferrule", cores: str = "*", shuffle_partitions: i
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset.
+
+    Executors of a cluster do not see the driver's folders, so a cluster without the setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         current = spark.sparkContext.getCheckpointDir()
         named = current or tempfile.mkdtemp(prefix="ferrule-checkpoint-")

@@ -15,16 +15,20 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 MAGIC = (("pe", "4D5A"), ("elf", "7F454C46"), ("macho", "CFFAEDFE"), ("macho", "CEFAEDFE"), ("macho", "CAFEBABE"), ("dex", "6465780A"))
 #: Fixed machine numbers of PE files with their bitness.
 PE_MACHINES = ((0x14C, 32), (0x8664, 64), (0xAA64, 64))
+#: Fixed numbers of ELF ABIs.
+ELF_ABIS = ((0, "sysv"), (3, "linux"), (6, "solaris"), (9, "freebsd"), (12, "openbsd"))
 PE_EXECUTE, PE_PAGE = 0x20000000, 0x1000
 
 
-def uint(content: Column, at: Column | int, size: int) -> Column:
-    """Little-endian unsigned number of up to seven bytes at a byte offset; null beyond the end."""
+def uint(content: Column, at: Column | int, size: int, big: Column | None = None) -> Column:
+    """Unsigned number at a byte offset, little-endian unless ``big``; null beyond the end. Eight bytes give a decimal."""
     at = F.lit(at) if isinstance(at, int) else at
     whole = F.substring(content, at + 1, F.lit(size)) if isinstance(at, Column) else F.substring(content, at + 1, size)
     digits = F.hex(whole)
     swapped = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
-    return F.when(F.length(digits) == 2 * size, F.conv(swapped, 16, 10).cast("long"))
+    ordered = swapped if big is None else F.when(big, digits).otherwise(swapped)
+    kind = "long" if size < 8 else "decimal(20,0)"
+    return F.when(F.length(digits) == 2 * size, F.conv(ordered, 16, 10).cast(kind))
 
 
 def dispatch(content: Column) -> Column:
@@ -79,8 +83,9 @@ def pe_headers(binaries: DataFrame) -> DataFrame:
         {
             "machine": machine,
             "bitness": bits,
-            "image_base": F.when(wide, uint(c, nt + 48, 7)).otherwise(uint(c, nt + 52, 4)),
+            "image_base": F.when(wide, uint(c, nt + 48, 8)).otherwise(uint(c, nt + 52, 4).cast("decimal(20,0)")),
             "entry_rva": uint(c, nt + 40, 4),
+            "abi": F.when(machine.isin(*[m for m, _ in PE_MACHINES]), "windows"),
             "sections": F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), section)).otherwise(F.array()),
         }
     ).drop("_nt")
@@ -98,13 +103,17 @@ def pe_code_areas(headers: DataFrame) -> DataFrame:
 
 def elf_headers(binaries: DataFrame) -> DataFrame:
     c = F.col("content")
-    wide = uint(c, 4, 1) == 2
+    wide, big = uint(c, 4, 1) == 2, uint(c, 5, 1) == 2
+    pick = lambda a, b: F.when(wide, uint(c, *a, big).cast("decimal(20,0)")).otherwise(uint(c, *b, big).cast("decimal(20,0)"))
+    abi = uint(c, 7, 1)
     return binaries.where("format = 'elf'").withColumns(
         {
             "bitness": F.when(wide, 64).otherwise(32),
-            "machine": uint(c, 18, 2),
-            "entry": F.when(wide, uint(c, 24, 7)).otherwise(uint(c, 24, 4)),
-            "n_segments": F.when(wide, uint(c, 56, 2)).otherwise(uint(c, 44, 2)),
+            "big_endian": big,
+            "machine": uint(c, 18, 2, big),
+            "abi": F.coalesce(*[F.when(abi == number, name) for number, name in ELF_ABIS]),
+            "entry": pick((24, 8), (24, 4)),
+            "n_segments": pick((56, 2), (44, 2)).cast("long"),
         }
     )
 

@@ -24,38 +24,69 @@ def _name(content: Column, at: Column, size: int) -> Column:
     return F.regexp_replace(F.decode(F.substring(content, (at + 1).cast("int"), F.lit(size)), "ISO-8859-1"), "(?s)\\x00.*", "")
 
 
-def _at(content: Column, at: Column, size: int) -> Column:
-    return uint(content, at.cast("int"), size)
+def _at(content: Column, at: Column, size: int, big: Column | None = None) -> Column:
+    return uint(content, at.cast("int"), size, big)
 
 
-def elf_sections(binaries: DataFrame) -> DataFrame:
-    """(binary_id, place, name, type, flags, addr, file_at, size) of the sections of ELF files."""
+def _elf_table(binaries: DataFrame, wide_at: tuple, narrow_at: tuple) -> DataFrame:
+    """A row per entry of an ELF table: its place, where it starts (``at``), and how numbers are to be read."""
     c = F.col("content")
-    wide = uint(c, 4, 1) == 2
-    pick = lambda a, b: F.when(wide, uint(c, *a)).otherwise(uint(c, *b))
+    wide, big = uint(c, 4, 1) == 2, uint(c, 5, 1) == 2
+    pick = lambda i: F.when(wide, uint(c, *wide_at[i], big).cast("long")).otherwise(uint(c, *narrow_at[i], big))
     rows = binaries.where("format = 'elf'").select(
-        "binary_id",
-        c,
-        wide.alias("wide"),
-        pick((40, 7), (32, 4)).alias("table"),
-        pick((58, 2), (46, 2)).alias("step"),
-        pick((60, 2), (48, 2)).alias("n"),
-        pick((62, 2), (50, 2)).alias("names"),
-    )
+        "binary_id", c, wide.alias("wide"), big.alias("big"), *[pick(i).alias(n) for i, n in enumerate(("table", "step", "n"))],
+        F.when(wide, uint(c, 62, 2, big)).otherwise(uint(c, 50, 2, big)).alias("names"),
+    )
     fits = F.floor((F.octet_length("content") - F.col("table")) / F.col("step"))
     rows = rows.where("step > 0 AND table > 0").withColumn("place", F.explode(_up_to(F.least("n", fits))))
-    at = F.col("table") + F.col("step") * F.col("place")
-    field = lambda a, b, base=at: F.when(F.col("wide"), _at(c, base + a, 7)).otherwise(_at(c, base + b, 4))
-    names = field(24, 16, F.col("table") + F.col("step") * F.col("names"))
+    return rows.withColumn("at", F.col("table") + F.col("step") * F.col("place"))
+
+
+def _elf_field(at: Column, wide: tuple, narrow: tuple) -> Column:
+    """A field at (offset, size) in entries of 64-bit and of 32-bit files."""
+    c, big = F.col("content"), F.col("big")
+    kind = "decimal(20,0)" if wide[1] == 8 else "long"
+    return F.when(F.col("wide"), _at(c, at + wide[0], wide[1], big)).otherwise(_at(c, at + narrow[0], narrow[1], big).cast(kind))
+
+
+def elf_sections(binaries: DataFrame) -> DataFrame:
+    """(binary_id, place, name, type, flags, addr, file_at, size) of the sections of ELF files."""
+    rows = _elf_table(binaries, ((40, 8), (58, 2), (60, 2)), ((32, 4), (46, 2), (48, 2)))
+    c, at, big = F.col("content"), F.col("at"), F.col("big")
+    low = lambda wide, narrow, base=at: _elf_low(base, wide, narrow)
+    names = low(24, 16, F.col("table") + F.col("step") * F.col("names"))
+    return rows.select(
+        "binary_id",
+        "place",
+        _name(c, names + _at(c, at, 4, big), 64).alias("name"),
+        _at(c, at + 4, 4, big).alias("type"),
+        low(8, 8).alias("flags"),
+        _elf_field(at, (16, 8), (12, 4)).alias("addr"),
+        low(24, 16).alias("file_at"),
+        low(32, 20).alias("size"),
+    )
+
+
+def _elf_low(at: Column, wide: int, narrow: int) -> Column:
+    """Sizes and places inside files: the low seven bytes of 64-bit fields are enough."""
+    c, big = F.col("content"), F.col("big")
+    long = F.when(big, _at(c, at + wide + 1, 7, big)).otherwise(_at(c, at + wide, 7))
+    return F.when(F.col("wide"), long).otherwise(_at(c, at + narrow, 4, big))
+
+
+def elf_segments(binaries: DataFrame) -> DataFrame:
+    """(binary_id, place, type, flags, file_at, addr, file_size, size) of the segments of ELF files."""
+    rows = _elf_table(binaries, ((32, 8), (54, 2), (56, 2)), ((28, 4), (42, 2), (44, 2)))
+    c, at, big = F.col("content"), F.col("at"), F.col("big")
     return rows.select(
         "binary_id",
         "place",
-        _name(c, names + _at(c, at, 4), 64).alias("name"),
-        _at(c, at + 4, 4).alias("type"),
-        field(8, 8).alias("flags"),
-        field(16, 12).alias("addr"),
-        field(24, 16).alias("file_at"),
-        field(32, 20).alias("size"),
+        _at(c, at, 4, big).alias("type"),
+        F.when(F.col("wide"), _at(c, at + 4, 4, big)).otherwise(_at(c, at + 24, 4, big)).alias("flags"),
+        _elf_low(at, 8, 4).alias("file_at"),
+        _elf_field(at, (16, 8), (8, 4)).alias("addr"),
+        _elf_low(at, 32, 16).alias("file_size"),
+        _elf_low(at, 40, 20).alias("size"),
     )
 
 
@@ -101,7 +132,7 @@ def macho_segments(slices: DataFrame) -> DataFrame:
         "slice",
         "cpu",
         _name(c, at + 8, 16).alias("name"),
-        field(24, 24).alias("addr"),
+        F.when(F.col("wide"), _at(c, at + 24, 8)).otherwise(_at(c, at + 24, 4).cast("decimal(20,0)")).alias("addr"),
         field(32, 28).alias("size"),
         field(40, 32).alias("file_at"),
         field(48, 36).alias("file_size"),
