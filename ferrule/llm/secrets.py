@@ -16,7 +16,6 @@ whole; an empty table gives an empty result; further columns are carried unless
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -166,10 +165,6 @@ def guess_spans(
     return list(found.values())
 
 
-def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
-
-
 def word_ranks(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     """``RANK`` with the words of the table by the number of rows that hold them, outside credential contexts."""
     plain = F.regexp_replace(text_col, rf"(?i)(?:{_KEYWORDS})\S*+(?:\s++\S++){{0,2}}", " ")
@@ -226,7 +221,3 @@ def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("secrets", line), ",").alias("spans"),
         count("guess"),
     )
-
-
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()
