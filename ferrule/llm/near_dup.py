@@ -8,8 +8,9 @@ The sketch of the union estimates a candidate's similarity and filters; the exac
 
 Lists are worked off without writing all their pairs: first every member meets the list's first member; confirmed
 links give components; those outside a list's main component meet a few members inside; then only members of
-components that are still different meet, all of them. Long lists that stay split are cut anew by the full sets' own
-rarest shingles, where the threshold itself bounds what partners share; what is long even then is compared in blocks.
+components that are still different meet, all of them. Long lists that stay split are cut anew: their members' full sets
+are ordered, what a reference set holds last, and partners meet in one of the first fifth of their shingles, which leaves
+out what a common passage shares. What is long even then is compared in blocks.
 
 Edge cases: null and empty texts have no set, no links, and are kept; shorter texts are one shingle; repeated rows and
 equal texts are one class, the smallest id names it; rows without an id are compared like all others, the least id of
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import bounded_batches, stage_table, table
 from ferrule.llm.graphs import components
-from ferrule.llm.hashing import shingle_set
+from ferrule.llm.hashing import mix, shingle_set
 
 #: Retained values; of these the least share that similar sets have in common.
 SKETCH = 48
@@ -68,18 +69,18 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return _keyed(docs).mapInArrow(run, schema)
 
 
-def prefix_postings(members: DataFrame, shared: float = SHARED) -> DataFrame:
+def prefix_postings(members: DataFrame) -> DataFrame:
     """(value, node, n): per node, its rarest retained values that other nodes hold too.
 
-    ``members``: node, n, vals. Partners have ``shared`` of a node's values in common, so they meet in one of its
-    rarest (1 - shared); a node whose own values make up more than that has no partner and drops out.
+    ``members``: node, n, vals. Partners have ``SHARED`` of a node's values in common, so they meet in one of its
+    rarest (1 - SHARED); a node whose own values make up more than that has no partner and drops out.
     """
     postings = members.select("node", "n", F.size("vals").alias("s"), F.explode("vals").alias("value"))
     repeated = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     held = postings.join(repeated, "value").groupBy("node", "n", "s").agg(
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs")
     )
-    prefix = F.col("s") - F.ceil(F.col("s") * F.lit(shared) - 1e-9) + 1 - (F.col("s") - F.size("vs"))
+    prefix = F.col("s") - F.ceil(F.col("s") * F.lit(SHARED) - 1e-9) + 1 - (F.col("s") - F.size("vs"))
     return (
         held.withColumn("p", prefix.cast("int"))
         .where("p > 0")
@@ -108,11 +109,22 @@ def _numbers(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy().view(np.uint64), ends
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; the union's sketch filters before.
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, x, y): the pairs with the full sets of both.
 
     Many pairs may share one b: its set is sent once per ``SPLIT`` of them, so that no task gets them all.
     """
+    pairs = pairs.select("a", "b")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
+    left = sets.select(F.col("node").alias("a"), F.col("vals").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("vals").alias("y")).join(parts, "b")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    return dealt.join(left, "a").join(right, ["b", "part"]).select("a", "b", "x", "y")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold; the union's sketch filters before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,13 +141,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = pairs.select("a", "b")
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
-    left = sets.select(F.col("node").alias("a"), F.col("vals").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("vals").alias("y")).join(parts, "b")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
-    return dealt.join(left, "a").join(right, ["b", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _with_sets(pairs, sets).mapInArrow(run, "a long, b long")
 
 
 def _tagged(postings: DataFrame, comps: DataFrame) -> DataFrame:
@@ -191,6 +197,38 @@ def _long_lists(tagged: DataFrame) -> DataFrame:
     return stage_table(sizes.where((F.col("m") - F.col("top")) * F.col("m") > LONG).select("value"), "long-lists")
 
 
+def split_postings(tagged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(value, node, n): long lists cut into shorter ones, in which partners of one list still meet.
+
+    Lists get a reference, a node that most of their members agree on. A member's shingles are ordered, those outside the
+    reference's set first, then by value: for members of one reference that is one order, and sets that share ``percent``
+    of either's shingles share one of the first 100 - ``percent`` in the hundred of each. A passage that the list's members
+    have in common with the reference comes last, so it brings together only those that hold little else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (xs, xe), (ys, ye) = _numbers(batch.column("x")), _numbers(batch.column("y"))
+            names = mix(batch.column("b").to_numpy().view(np.uint64))
+            sizes, lists = np.diff(xe), []
+            for i, n in enumerate(sizes.tolist()):
+                x = xs[xe[i] : xe[i + 1]]
+                held = np.isin(x, ys[ye[i] : ye[i + 1]], assume_unique=True)
+                prefix = np.concatenate([x[~held], x[held]])[: n + percent * -n // 100 + 1]
+                lists.append(mix(prefix ^ names[i]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(sizes, pa.int64()), _lists(lists)], ["node", "n", "vals"])
+
+    firsts = tagged.groupBy("value").agg(F.min("node").alias("first"))
+    chosen = tagged.join(firsts, "value").groupBy("node").agg(F.min("first").alias("b"))
+    votes = tagged.join(chosen, "node").groupBy("value", "b").agg(F.count("*").alias("votes"))
+    references = votes.groupBy("value").agg(F.max(F.struct("votes", "b")).alias("top")).select("value", "top.b")
+    pairs = tagged.join(references, "value").select(F.col("node").alias("a"), "b").distinct()
+    made = _with_sets(pairs, sets).mapInArrow(run, "node long, n long, vals array<long>")
+    postings = stage_table(made.select("node", "n", F.explode("vals").alias("value")), "split")
+    shared = postings.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
+    return postings.join(shared, "value")
+
+
 def _linked_in_blocks(tagged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links among members of long lists, compared block by block; only links that join components leave.
 
@@ -260,9 +298,8 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     long = _long_lists(tagged)
     found = [confirmed(_across(tagged.join(long, "value", "left_anti"), percent), sets, percent)]
     if not long.isEmpty():
-        inside = postings.join(long, "value", "left_semi").select("node").distinct()
-        texts = sets.join(inside, "node").select("node", F.size("vals").cast("long").alias("n"), "vals")
-        tagged = _tagged(stage_table(prefix_postings(texts, percent / 100), "whole-postings"), comps)
+        split = split_postings(tagged.join(long, "value", "left_semi"), sets, percent)
+        tagged = _tagged(stage_table(split, "split-lists"), comps)
         long = _long_lists(tagged)
         found.append(confirmed(_across(tagged.join(long, "value", "left_anti"), percent), sets, percent))
         if not long.isEmpty():

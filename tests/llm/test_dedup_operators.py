@@ -94,6 +94,21 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, k, long, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("long", [near_dup.LONG, 1])
+def test_near_duplicates_behind_passages_that_many_share(spark, monkeypatch, long):
+    monkeypatch.setattr(near_dup, "LONG", long)
+    rng = random.Random(11)
+    passages = [words(rng, n, 10**6) for n in (50, 70, 90)]
+    docs = []
+    for ident in range(0, 240, 3):
+        own = words(rng, rng.randrange(15, 60), 10**6)
+        held = [p for p in passages if rng.random() < 0.6]
+        base = [w for part in (*held, own) for w in part]
+        docs += [(ident + k, " ".join(edited(rng, base, rng.randrange(0, 4)))) for k in range(rng.randrange(1, 4))]
+    got = near_duplicates(spark.createDataFrame(docs, DOCS), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_components(docs, 5, 80)
+
+
 def test_near_duplicates_with_repeated_rows_nulls_and_other_columns(spark):
     text = " ".join(map(str, range(30)))
     rows = [(None, text, 1), (5, text, 2), (5, text, 2), (7, text, 3), (8, None, 4), (9, "", 5)]
