@@ -12,6 +12,8 @@ from ferrule.session import checkpoint_dir
 #: Texts differ widely in length: a batch of a fixed number of rows has no bound of its own.
 BATCH_BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 SPARKS_DEFAULT = "67108864b"
+#: Shuffle files go when the query that wrote them ends; by default they wait for the driver's garbage collector.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +27,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder, so that a lost executor costs nothing, and read again."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP_KEY)
+    spark.conf.set(CLEANUP_KEY, "true")  # a write's plan is run once, so nothing asks for its shuffles again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
