@@ -114,7 +114,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Many pairs may share one b: its set is sent once per ``SPLIT`` of them, so that no task gets them all.
     """
-    pairs = pairs.select("a", "b")
+    pairs = stage_table(pairs.select("a", "b"), "pairs")  # counted and dealt: two reads of what is found once
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
     left = sets.select(F.col("node").alias("a"), F.col("vals").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("vals").alias("y")).join(parts, "b")
@@ -190,11 +190,14 @@ LONG = 1 << 12
 BLOCK = 128
 
 
-def _long_lists(tagged: DataFrame) -> DataFrame:
+def _split_lists(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of lists that hold several components: of those that are not long, and of the long ones."""
     sizes = tagged.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(
         F.sum("c").alias("m"), F.max("c").alias("top")
     )
-    return stage_table(sizes.where((F.col("m") - F.col("top")) * F.col("m") > LONG).select("value"), "long-lists")
+    apart = sizes.where("m > top").select("value", ((F.col("m") - F.col("top")) * F.col("m") > LONG).alias("long"))
+    rows = stage_table(tagged.join(apart, "value"), "split-lists")
+    return rows.where(~F.col("long")).drop("long"), rows.where("long").drop("long")
 
 
 def split_postings(tagged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -292,18 +295,16 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     comps = components(links)
     members = postings.select("value", "node", "n")
     # a second try, before all that are still apart meet: most copies know some member of the main component
-    links = stage_table(links.unionByName(confirmed(_probes(_tagged(members, comps), percent), sets, percent)), "links")
+    links = stage_table(links.unionByName(confirmed(_probes(stage_table(_tagged(members, comps), "tagged"), percent), sets, percent)), "links")
     comps = stage_table(components(links), "components")
-    tagged = _tagged(members, comps)
-    long = _long_lists(tagged)
-    found = [confirmed(_across(tagged.join(long, "value", "left_anti"), percent), sets, percent)]
+    short, long = _split_lists(stage_table(_tagged(members, comps), "tagged"))
+    found = [confirmed(_across(short, percent), sets, percent)]
     if not long.isEmpty():
-        split = split_postings(tagged.join(long, "value", "left_semi"), sets, percent)
-        tagged = _tagged(stage_table(split, "split-lists"), comps)
-        long = _long_lists(tagged)
-        found.append(confirmed(_across(tagged.join(long, "value", "left_anti"), percent), sets, percent))
+        split = split_postings(long, sets, percent)
+        short, long = _split_lists(stage_table(_tagged(split, comps), "tagged"))
+        found.append(confirmed(_across(short, percent), sets, percent))
         if not long.isEmpty():
-            found.append(_linked_in_blocks(tagged.join(long, "value", "left_semi"), sets, percent))
+            found.append(_linked_in_blocks(long, sets, percent))
     for more in found:
         links = links.unionByName(more)
     final = components(links)
