@@ -11,7 +11,9 @@ from ferrule.llm.pieces import op7_sentencepiece
 from ferrule.llm.repeats import op6_repeats
 from ferrule.llm.secrets import op4_secret_scan
 from ferrule.llm.sharding import op3_sharding
+from ferrule.llm.simhash import op13_simhash
 from ferrule.llm.toxicity import op1_toxicity
+from ferrule.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_whitening": op11_whitening,
+    "op13_simhash": op13_simhash,
 }
 ORACLES = {"op9_line_dedup": OP9_SQL, "op2_near_duplicates": OP2_SQL, "op10_chat_formatting": OP10_SQL}
