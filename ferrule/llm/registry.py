@@ -8,6 +8,7 @@ from ferrule.llm.line_dedup import OP9_SQL, op9_line_dedup
 from ferrule.llm.media import op5_media_columns
 from ferrule.llm.near_dup import OP2_SQL, op2_near_duplicates
 from ferrule.llm.pieces import op7_sentencepiece
+from ferrule.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from ferrule.llm.repeats import op6_repeats
 from ferrule.llm.secrets import op4_secret_scan
 from ferrule.llm.sharding import op3_sharding
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_simhash": op13_simhash,
 }
-ORACLES = {"op9_line_dedup": OP9_SQL, "op2_near_duplicates": OP2_SQL, "op10_chat_formatting": OP10_SQL}
+ORACLES = {"op9_line_dedup": OP9_SQL, "op2_near_duplicates": OP2_SQL, "op10_chat_formatting": OP10_SQL, "op12_prefix_trie": OP12_SQL}
