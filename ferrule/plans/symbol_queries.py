@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ferrule.plans.image_queries import _files, ascii_hex, joined, le, zeros
 from ferrule.plans.registry import query, table
-from ferrule.sources import binaries, pe_tables
+from ferrule.sources import binaries, elf_symbols, pe_tables
 
 #: Where the one section of a PE file lies in memory and in the file, and the bases of 64-bit and 32-bit files.
 RVA, RAW, WIDE, NARROW = 0x2000, 512, 0x140000000, 0x400000
@@ -196,3 +196,128 @@ def coff_symbols(spark, sf_dir):
 def pe_function_symbols(spark, sf_dir):
     """Entry point, exports and symbols; pairs of symbols share an address, and symbols lie on exports."""
     return _texts(pe_tables.pe_function_symbols(_pe(spark, sf_dir)), "address")
+
+
+# --- ELF
+
+#: Start of the sections' bytes, and addresses that the oracles know: of dynamic and static symbols, slots and stubs.
+FIRST, DYNAMIC, STATIC, SLOTS, STUBS = 704, 0x10000, 0x20000, 0x30000, 0x40000
+
+
+@built_once
+def _elf(spark, sf_dir: str) -> DataFrame:
+    """Files of both classes and byte orders by order number: static and dynamic symbols, relocations with versions, stubs.
+
+    Pairs of dynamic symbols and triples of static ones share an address; some are undefined, absolute, data, thread-local
+    or local, and an undefined one may have a value.
+    """
+    rows = line_items(spark, sf_dir).withColumns({"wide": F.col("k") % 2 == 0, "big": F.col("k") % 4 >= 2, "n": F.col("n").cast("int")})
+    n, wide, big = F.col("n"), F.col("wide"), F.col("big")
+
+    def num(value, size: int) -> Column:
+        value = F.lit(value) if isinstance(value, int) else value
+        return F.when(big, F.substring(F.lpad(F.hex(value.cast("long")), 16, "0"), -2 * size, 2 * size)).otherwise(le(value, size))
+
+    word = lambda value: F.when(wide, num(value, 8)).otherwise(num(value, 4))
+
+    def symbol(name, value, kind, bind, section) -> Column:
+        info = le(bind * 16 + kind, 1)
+        long = F.concat(num(name, 4), info, zeros(1), num(section, 2), num(value, 8), num(4, 8))
+        return F.when(wide, long).otherwise(F.concat(num(name, 4), num(value, 4), num(4, 4), info, zeros(1), num(section, 2)))
+
+    def dynamic(x: Column, i: Column) -> Column:
+        section = F.when(i % 3 == 0, 0).when(i % 5 == 4, 0xFFF1).otherwise(1)
+        kind = F.when(i % 7 == 6, 6).when(i % 4 == 3, 1).otherwise(2)
+        bind = F.when(i % 11 == 10, 0).otherwise(1 + i % 2)
+        value = F.when((i % 3 == 0) & (i % 6 == 0), 0).otherwise(DYNAMIC + 16 * (i - i % 2))
+        return symbol(1 + 24 * i, value, kind, bind, section)
+
+    static = lambda x, i: symbol(1 + 24 * i, STATIC + 16 * F.floor(i / 3), 2 - i % 2, F.lit(0), F.lit(1))
+    nothing = F.when(wide, zeros(24)).otherwise(zeros(16))
+    slot = lambda i: SLOTS + 8 * i
+    halves = lambda i: F.when(big, F.concat(num(i + 1, 4), num(7, 4))).otherwise(F.concat(num(7, 4), num(i + 1, 4)))
+    relocation = lambda x, i: F.when(wide, F.concat(num(slot(i), 8), halves(i), zeros(8))).otherwise(F.concat(num(slot(i), 4), num((i + 1) * 256 + 7, 4)))
+    # odd symbols have no version; the top bit only hides a version
+    version = lambda x, i: num(F.when(i % 2 == 0, 2 + x["s"] % 4 + F.when(i % 4 == 0, 0x8000).otherwise(0)).otherwise(1), 2)
+    base = 1 + 24 * n
+    need = lambda count, ahead, more: F.concat(num(1, 2), num(count, 2), num(0, 4), num(ahead, 4), num(more, 4))
+    aux = lambda v, more: F.concat(num(0, 4), num(0, 2), num(v, 2), num(base + 4 * (v - 2), 4), num(more, 4))
+    needs = F.concat(need(3, 16, 80), aux(2, 32), F.lit("AB" * 16), aux(3, 16), aux(4, 0), need(1, 16, 0), aux(5, 0))
+    jump = lambda i: le(slot(i) - (STUBS + 16 * i + 11), 4)
+    stub = lambda x, i: F.concat(F.lit("F30F1EFAF2FF25"), jump(i), F.lit("0F1F440000"))
+    names = ".dynsym .dynstr .symtab .strtab .rel .versym .verneed .plt .shstrtab".split()
+    at = [1 + sum(len(x) + 1 for x in names[:j]) for j in range(len(names))]
+    strings = lambda word: F.concat(zeros(1), each(lambda x, i: text_hex(F.concat(F.lit(f"{word}_"), x["p"]), 24)))
+    parts = [
+        (11, F.concat(nothing, each(dynamic)), 0, 2, 0), (3, F.concat(strings("dyn"), F.lit(b"V_2\0V_3\0V_4\0V_5\0".hex())), 0, 0, 0),
+        (2, F.concat(nothing, each(static)), 0, 4, 0), (3, strings("st"), 0, 0, 0), (F.when(wide, 4).otherwise(9), each(relocation), 0, 1, 0),
+        (0x6FFFFFFF, F.concat(num(0, 2), each(version)), 0, 1, 0), (0x6FFFFFFE, needs, 0, 2, 2), (1, each(stub), STUBS, 0, 0),
+        (3, F.lit(b"\0".hex() + b"".join(x.encode() + b"\0" for x in names).hex()), 0, 0, 0),
+    ]
+    rows = rows.select("k", "n", "wide", "big", *[part[1].alias(f"_p{j}") for j, part in enumerate(parts)])
+    header = lambda name, kind, addr, start, size, link, info: F.concat(num(name, 4), num(kind, 4), word(0), word(addr), word(start), word(size), num(link, 4), num(info, 4), word(1), word(0))
+    start, headers = F.lit(FIRST), [F.when(wide, zeros(64)).otherwise(zeros(40))]
+    for j, (kind, _, addr, link, info) in enumerate(parts):
+        size = (F.length(f"_p{j}") / 2).cast("int")
+        headers.append(header(at[j], kind, addr, start, size, link, info))
+        start = start + size
+    machine = F.when(wide & ~big, 62).otherwise(8)
+    ident = F.concat(F.lit("7F454C46"), F.when(wide, F.lit("02")).otherwise(F.lit("01")), F.when(big, F.lit("02")).otherwise(F.lit("01")), F.lit("01"), zeros(9))
+    head = F.concat(ident, num(2, 2), num(machine, 2), num(1, 4), word(F.col("k") + 0x50000), word(0), word(64), num(0, 4), num(64, 2), num(0, 2), num(0, 2), num(F.when(wide, 64).otherwise(40), 2), num(10, 2), num(9, 2))
+    content = F.concat(F.rpad(F.concat(F.rpad(head, 128, "0"), *headers), 2 * FIRST, "0"), *[F.col(f"_p{j}") for j in range(len(parts))])
+    return _files(rows.select("k", joined(content).alias("c")), "k", F.col("c"))
+
+
+ELF = f"""{ITEMS}, d AS (SELECT k, i, p, s, 'dyn_' || p AS name, CASE WHEN i % 6 = 0 THEN 0 ELSE {DYNAMIC} + 16 * (i - i % 2) END AS value,
+  CASE WHEN i % 7 = 6 THEN 6 WHEN i % 4 = 3 THEN 1 ELSE 2 END AS kind, CASE WHEN i % 11 = 10 THEN 0 ELSE 1 + i % 2 END AS bind,
+  CASE WHEN i % 3 = 0 THEN 0 WHEN i % 5 = 4 THEN 65521 ELSE 1 END AS section FROM it),
+t AS (SELECT k, i, 'st_' || p AS name, {STATIC} + 16 * (i // 3) AS value, 2 - i % 2 AS kind FROM it)"""
+
+
+@query(
+    "elf_symbols",
+    f"""{ELF} SELECT k AS binary_id, true AS dynamic, i + 1 AS place, name, CAST(value AS VARCHAR) AS value, CAST(kind AS BIGINT) AS kind, CAST(bind AS BIGINT) AS bind, CAST(section AS BIGINT) AS section FROM d
+    UNION ALL SELECT k, false, i + 1, name, CAST(value AS VARCHAR), kind, 0, 1 FROM t""",
+)
+def elf_symbols_(spark, sf_dir):
+    found = elf_symbols.elf_symbols(_elf(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+    return _texts(found.drop("size"), "value")
+
+
+@query(
+    "elf_function_symbols",
+    f"""{ELF}, x AS (SELECT k, k + {0x50000} AS value, '{pe_tables.ENTRY_POINT}' AS name, 0 AS r FROM d WHERE i = 0
+      UNION ALL SELECT k, value, name, 1 + i FROM t WHERE kind = 2
+      UNION ALL SELECT k, value, name, 1000 + i FROM d WHERE kind = 2 AND section = 1 AND value > 0)
+    SELECT k AS binary_id, CAST(value AS VARCHAR) AS address, arg_max(name, r) AS name FROM x GROUP BY k, value""",
+)
+def elf_function_symbols(spark, sf_dir):
+    return _texts(elf_symbols.elf_function_symbols(_elf(spark, sf_dir)), "address")
+
+
+@query(
+    "elf_exported_symbols",
+    f"{ELF} SELECT k AS binary_id, CAST(value AS VARCHAR) AS address, arg_min(name, i) AS name FROM d WHERE section = 1 AND kind <> 6 GROUP BY k, value",
+)
+def elf_exported_symbols(spark, sf_dir):
+    return _texts(elf_symbols.elf_exported_symbols(_elf(spark, sf_dir)), "address")
+
+
+_IMPORTED = f"""SELECT k AS binary_id, CAST({SLOTS} + 8 * i AS VARCHAR) AS slot, CASE WHEN i % 2 = 0 THEN 'V_' || 2 + s % 4 END AS version, name
+  FROM d WHERE section = 0 AND kind = 2 AND bind > 0"""
+
+
+@query("elf_imports", f"{ELF} {_IMPORTED}")
+def elf_imports(spark, sf_dir):
+    return _texts(elf_symbols.elf_imports(elf_symbols.elf_relocations(_elf(spark, sf_dir))), "slot")
+
+
+@query(
+    "elf_stubs",
+    f"{ELF}, m AS ({_IMPORTED}) SELECT binary_id, CAST({STUBS} + 2 * (CAST(slot AS BIGINT) - {SLOTS}) AS VARCHAR) AS stub, slot, version, name FROM m WHERE binary_id % 4 = 0",
+)
+def elf_stubs(spark, sf_dir):
+    """Stub -> slot -> import, in the files for x86."""
+    files = _elf(spark, sf_dir)
+    found = elf_symbols.named_stubs(elf_symbols.linkage_stubs(files), elf_symbols.elf_imports(elf_symbols.elf_relocations(files)))
+    return _texts(found, "stub", "slot")
