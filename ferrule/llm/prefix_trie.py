@@ -31,7 +31,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,11 +123,11 @@ def locate(batch: DataFrame, trie: DataFrame, rounds: int) -> DataFrame:
     return met.select("sid", "size", "p1", "p2", "words", "l", *[F.coalesce(c, f"_{c}").alias(c) for c in ("f", "h1", "h2", "a")])
 
 
-def compacted(rows: pd.DataFrame) -> pd.DataFrame:
+def compacted(members: list[dict]) -> list[tuple]:
     """The nodes below one place: strings and perhaps an edge, all from the same depth on, become edges between the depths
     where strings end or part."""
-    a, a1, a2, a_words = (rows[c].iloc[0].item() for c in ("a", "a1", "a2", "a_words"))
-    strings = sorted((list(zip(x.tolist(), y.tolist(), strict=True)), w) for x, y, w in zip(rows["e1"], rows["e2"], map(list, rows["words"]), strict=True))
+    a, a1, a2, a_words = (members[0][c] for c in ("a", "a1", "a2", "a_words"))
+    strings = sorted((list(zip(m["e1"], m["e2"], strict=True)), m["words"]) for m in members)
     stops: dict[tuple[int, tuple[int, int]], int] = {}
     for i, (s, _) in enumerate(strings):
         stops.setdefault((len(s), s[-1]), i)
@@ -150,7 +149,16 @@ def compacted(rows: pd.DataFrame) -> pd.DataFrame:
         f = high >> shift << shift
         up = (low, *(s[top - 1] if top else (a1, a2)), w[top - 1] if top else a_words)
         nodes.append((f, *s[f - a - 1], low, high, *up[1:], [x for x, _ in s[top:depth]], [y for _, y in s[top:depth]], w[top:depth]))
-    return pd.DataFrame(nodes, columns=["f", "h1", "h2", "a", "b", "a1", "a2", "a_words", "e1", "e2", "words"])
+    return nodes
+
+
+def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3]
+    names = [c.split()[0] for c in TRIE.split(", ")]
+    for batch in batches:
+        nodes = [n for members in batch.column("members").to_pylist() for n in compacted(members)]
+        columns = list(zip(*nodes, strict=True)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def inserted(trie: DataFrame | None, batch: DataFrame, rounds: int, together: int = TOGETHER) -> DataFrame:
@@ -180,7 +188,8 @@ def inserted(trie: DataFrame | None, batch: DataFrame, rounds: int, together: in
         if trie is not None:
             edges = trie.join(splits, ["f", "h1", "h2"]).select(F.lit(True).alias("inside"), F.col("f").alias("g"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), *_EDGE)
             rows = rows.unionByName(edges)
-        new = rows.groupBy(*place).applyInPandas(compacted, TRIE)
+        gathered = rows.groupBy(*place).agg(F.collect_list(F.struct(*_EDGE)).alias("members"))  # few: see ``together``
+        new = gathered.select("members").mapInArrow(_compacted, TRIE)
         trie = stage_table(new if trie is None else trie.join(splits, ["f", "h1", "h2"], "left_anti").select(*empty.columns).unionByName(new.select(*empty.columns)), "trie")
         if later is None:
             return trie
