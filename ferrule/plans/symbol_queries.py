@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ferrule.plans.image_queries import _files, ascii_hex, joined, le, zeros
 from ferrule.plans.registry import query, table
-from ferrule.sources import binaries, elf_symbols, pe_tables
+from ferrule.sources import binaries, dex_names, elf_symbols, pe_tables
 
 #: Where the one section of a PE file lies in memory and in the file, and the bases of 64-bit and 32-bit files.
 RVA, RAW, WIDE, NARROW = 0x2000, 512, 0x140000000, 0x400000
@@ -321,3 +321,64 @@ def elf_stubs(spark, sf_dir):
     files = _elf(spark, sf_dir)
     found = elf_symbols.named_stubs(elf_symbols.linkage_stubs(files), elf_symbols.elf_imports(elf_symbols.elf_relocations(files)))
     return _texts(found, "stub", "slot")
+
+
+# --- DEX
+
+#: Bytes of a string's place; strings before those of the items.
+TEXT, FIXED = 160, ("V", "I", "Ljava/lang/Object;")
+
+
+@built_once
+def _dex(spark, sf_dir: str) -> DataFrame:
+    """Files whose pools hold, per item, a class, a name with characters of one to four bytes, a short or long shorty, a
+    prototype of up to two parameters, a field, and a method of the next item's class."""
+    rows = line_items(spark, sf_dir).withColumn("n", F.col("n").cast("int"))
+    n = F.col("n")
+    types = 112 + 4 * (3 + 3 * n)
+    protos = types + 4 * (3 + n)
+    fields = protos + 12 * n
+    methods = fields + 8 * n
+    lists = methods + 8 * n
+    data = lists + 8 * n
+
+    def text(hexed: Column, units: Column) -> Column:
+        size = F.when(units < 128, le(units, 1)).otherwise(F.concat(le(units % 128 + 128, 1), le(F.floor(units / 128), 1)))
+        return F.rpad(F.concat(size, hexed, F.lit("00")), 2 * TEXT, "E")
+
+    plain = lambda t: text(F.hex(F.encode(t, "ISO-8859-1")), F.length(t))
+    ends = F.lit("C3A9E282ACEDA0BDEDB880")  # four characters, the last as two surrogates
+
+    def strings(x: Column, i: Column) -> Column:
+        name = F.concat(F.lit("m"), x["s"].cast("string"))
+        own = F.when(i % 3 == 0, text(F.concat(F.hex(F.encode(name, "ISO-8859-1")), ends), F.length(name) + 4)).otherwise(plain(name))
+        shorty = F.concat(F.lit("V"), F.repeat(F.lit("I"), F.when(i % 4 == 1, 130).otherwise(1)))
+        return F.concat(plain(F.concat(F.lit("Lc/"), x["p"].cast("string"), F.lit(";"))), own, plain(shorty))
+
+    spots = F.array_join(F.transform(F.sequence(F.lit(0), 3 * n + 2), lambda j: le(data + TEXT * j, 4)), "")
+    typed = F.concat(le(0, 4), le(1, 4), le(2, 4), each(lambda x, i: le(3 + 3 * i, 4)))
+    prototypes = each(lambda x, i: F.concat(le(5 + 3 * i, 4), le(F.when(i % 2 == 0, 0).otherwise(3 + i), 4), le(F.when(i % 3 == 0, 0).otherwise(lists + 8 * i), 4)))
+    held = each(lambda x, i: F.concat(le(3 + i, 2), le(1 + i % 2, 2), le(4 + 3 * i, 4)))
+    called = each(lambda x, i: F.concat(le(3 + (i + 1) % n, 2), le(i, 2), le(4 + 3 * i, 4)))
+    listed = each(lambda x, i: F.concat(le(i % 3, 4), le(1, 2), le(3 + i, 2)))
+    pools = F.concat(le(3 + 3 * n, 4), le(112, 4), le(3 + n, 4), le(types, 4), le(n, 4), le(protos, 4), le(n, 4), le(fields, 4), le(n, 4), le(methods, 4), zeros(16))
+    head = F.concat(F.lit(b"dex\n035\0".hex()), zeros(48), pools)
+    content = F.concat(head, spots, typed, prototypes, held, called, listed, *[plain(F.lit(t)) for t in FIXED], each(strings))
+    return _files(rows.select("k", joined(content).alias("c")), "k", F.col("c"))
+
+
+@query(
+    "dex_names",
+    f"""{ITEMS}, x AS (SELECT k, i, n, 'Lc/' || p || ';' AS own, 'm' || s || CASE WHEN i % 3 = 0 THEN 'é€😀' ELSE '' END AS name,
+      'V' || repeat('I', CASE WHEN i % 4 = 1 THEN 130 ELSE 1 END) AS shorty FROM it),
+    y AS (SELECT *, '(' || CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN 'I' ELSE 'I' || own END || ')' || CASE WHEN i % 2 = 0 THEN 'V' ELSE own END AS proto,
+      lead(own, 1, NULL) OVER (PARTITION BY k ORDER BY i) AS nxt, first_value(own) OVER (PARTITION BY k ORDER BY i) AS one FROM x),
+    o AS (SELECT DISTINCT k FROM it), w AS (SELECT * FROM (VALUES (0, 'V'), (1, 'I'), (2, 'Ljava/lang/Object;')) v(j, t))
+    SELECT k AS binary_id, 'string' AS kind, CAST(j AS BIGINT) AS number, t AS name FROM o, w UNION ALL SELECT k, 'type', j, t FROM o, w
+    UNION ALL SELECT k, 'string', 3 + 3 * i, own FROM y UNION ALL SELECT k, 'string', 4 + 3 * i, name FROM y UNION ALL SELECT k, 'string', 5 + 3 * i, shorty FROM y
+    UNION ALL SELECT k, 'type', 3 + i, own FROM y UNION ALL SELECT k, 'proto', i, proto FROM y
+    UNION ALL SELECT k, 'field', i, own || '->' || name || ':' || CASE WHEN i % 2 = 0 THEN 'I' ELSE 'Ljava/lang/Object;' END FROM y
+    UNION ALL SELECT k, 'method', i, coalesce(nxt, one) || '->' || name || proto FROM y""",
+)
+def dex_names_(spark, sf_dir):
+    return dex_names.dex_names(_dex(spark, sf_dir)).withColumn("number", F.col("number").cast("long"))
