@@ -10,6 +10,7 @@ import pytest
 
 import ferrule.plans.code_queries  # noqa: F401  registers with it the other queries
 import ferrule.plans.escape_queries  # noqa: F401
+import ferrule.plans.graph_queries  # noqa: F401
 import ferrule.plans.image_queries  # noqa: F401
 import ferrule.plans.symbol_queries  # noqa: F401
 from ferrule.plans.registry import ORACLES, QUERIES
