@@ -10,23 +10,16 @@ join no component and go. The rest is worked off in the same way.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.session import checkpoint_dir
+from ferrule.session import staged
 
 
 def _staged(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder.
-
-    checkpoint() would do so too, but carries along what the optimizer has inferred about the columns, which grows from round
-    to round until planning takes longer than the work.
-    """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A table in the shared folder instead of checkpoint(), whose plan carries along what the optimizer has inferred about
+    the columns: that grows from round to round until planning takes longer than the work."""
+    return staged(df, "graph")
 
 
 def _least_and_most(edges: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "ferrule", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -36,3 +37,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not current:
             spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, which cuts its lineage: what follows neither derives it anew nor
+    plans with what the optimizer has inferred about it."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
