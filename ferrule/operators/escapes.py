@@ -87,7 +87,12 @@ def x86_transfer(code: Column, inner: bool = False) -> Column:
 
 def little_endian(value: Column, size: int) -> Column:
     """Lower-case hex of a number's low bytes, least first."""
-    digits = F.lower(F.lpad(F.hex(value), 16, "0"))
+    return _swapped(F.hex(value), size)
+
+
+def _swapped(digits: Column, size: int) -> Column:
+    """The same from at most 16 hex digits, so that numbers need not fit a long."""
+    digits = F.lower(F.lpad(digits, 16, "0"))
     return F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(size)])
 
 
@@ -95,13 +100,21 @@ def _counted(text: Column, part: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("int")
 
 
+def _number(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("decimal(20,0)")
+
+
+def _address(digits: Column) -> Column:
+    """The bytes of an address of up to 16 digits: four where it fits them, else eight."""
+    return F.when(_number(digits) < 1 << 32, _swapped(digits, 4)).otherwise(_swapped(digits, 8))
+
+
 def x86_references(code: Column, operands: Column) -> Column:
     """A 32-bit displacement that stands alone in brackets or beside rip, masked; of two places only the last."""
     sign = F.regexp_extract(operands, r"\[(?:rip ([+-]) )?0x[0-9a-fA-F]+\]", 1)
-    digits = F.regexp_extract(operands, r"\[(?:rip [+-] )?0x([0-9a-fA-F]{1,15})\]", 1)
-    number = F.when(digits != "", F.conv(digits, 16, 10).cast("long"))
-    number = F.when(sign == "-", F.lit(1 << 32) - number).otherwise(number)
-    part = F.when(number < 1 << 32, little_endian(number, 4)).otherwise(little_endian(number, 8))
+    digits = F.regexp_extract(operands, r"\[(?:rip [+-] )?0x([0-9a-fA-F]{1,16})\]", 1)
+    back = F.when(sign == "-", little_endian(F.lit(1 << 32) - F.conv(digits, 16, 10).try_cast("long"), 4))
+    part = F.when(digits != "", F.coalesce(back, _address(digits)))
     n, places = _counted(code, part), F.length(part)
     last = F.length(code) - F.instr(F.reverse(code), F.reverse(part)) - places + 2
     return F.when(n.isin(1, 2), F.overlay(code, wild(places), last, places)).otherwise(code)
@@ -109,12 +122,11 @@ def x86_references(code: Column, operands: Column) -> Column:
 
 def x86_values(code: Column, operands: Column, low: Column, high: Column) -> Column:
     """Immediates that are addresses of the image, masked where they stand once or twice; small bases are not trusted."""
-    found = F.regexp_extract_all(operands, F.lit("0x([0-9a-fA-F]{1,15})(?![0-9a-fA-F])"), F.lit(1))
-    numbers = F.transform(found, lambda d: F.conv(d, 16, 10).cast("long"))
-    inside = F.filter(numbers, lambda v: (low > 0x100000) & (v >= low) & (v < high))
+    found = F.regexp_extract_all(operands, F.lit("0x([0-9a-fA-F]{1,16})"), F.lit(1))
+    inside = F.filter(found, lambda d: (low > 0x100000) & (_number(d) >= low) & (_number(d) < high))
 
-    def mask(acc, v):
-        part = F.when(v < 1 << 32, little_endian(v, 4)).otherwise(little_endian(v, 8))
+    def mask(acc, d):
+        part = _address(d)
         return F.when(_counted(acc, part).isin(1, 2), F.replace(acc, part, wild(F.length(part)))).otherwise(acc)
 
     return F.aggregate(inside, code, mask)
