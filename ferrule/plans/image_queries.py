@@ -150,7 +150,7 @@ PE_BASE = 0xF1 << 56
     "pe_headers",
     longs(
         f"""SELECT p_partkey AS binary_id, 34404 AS machine, CAST(64 AS INTEGER) AS bitness, CAST(CAST(p_partkey AS HUGEINT) + {PE_BASE} AS VARCHAR) AS image_base,
-        4096 AS entry_rva, '.text' AS name, length(p_name) AS vsize, 'windows' AS abi FROM part""",
+        4096 AS entry_rva, '.text' AS name, length(p_name) AS vsize, '' AS abi FROM part""",
         "machine", "entry_rva",
     ),
 )

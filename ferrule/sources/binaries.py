@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 #: Schema of Spark's ``binaryFile`` source, needed for streams.
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
+#: Fixed magic number of fat Mach-O files, and the least number after it that is a version of a Java class file instead of a
+#: count of slices.
+FAT_MAGIC, JAVA_FROM = "CAFEBABE", 0x2B
 #: Fixed magic numbers at the start of a file, in order of dispatch.
-MAGIC = (("pe", "4D5A"), ("elf", "7F454C46"), ("macho", "CFFAEDFE"), ("macho", "CEFAEDFE"), ("macho", "CAFEBABE"), ("dex", "6465780A"))
+MAGIC = (("pe", "4D5A"), ("elf", "7F454C46"), ("macho", "CFFAEDFE"), ("macho", "CEFAEDFE"), ("macho", FAT_MAGIC), ("dex", "6465780A"))
 #: Fixed machine numbers of PE files with their bitness.
 PE_MACHINES = ((0x14C, 32), (0x8664, 64), (0xAA64, 64))
 #: Fixed numbers of ELF ABIs.
@@ -32,10 +35,12 @@ def uint(content: Column, at: Column | int, size: int, big: Column | None = None
 
 
 def dispatch(content: Column) -> Column:
-    """Name of the format, or null."""
+    """Name of the format, or null. Java class files share the magic number of fat Mach-O files and are none."""
     out = None
     for name, magic in MAGIC:
         hit = F.hex(F.substring(content, 1, len(magic) // 2)) == magic
+        if magic == FAT_MAGIC:
+            hit &= F.coalesce(uint(content, 4, 4, F.lit(True)) < JAVA_FROM, F.lit(False))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 
@@ -85,7 +90,7 @@ def pe_headers(binaries: DataFrame) -> DataFrame:
             "bitness": bits,
             "image_base": F.when(wide, uint(c, nt + 48, 8)).otherwise(uint(c, nt + 52, 4).cast("decimal(20,0)")),
             "entry_rva": uint(c, nt + 40, 4),
-            "abi": F.when(machine.isin(*[m for m, _ in PE_MACHINES]), "windows"),
+            "abi": F.lit(""),  # the format states none
             "sections": F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), section)).otherwise(F.array()),
         }
     ).drop("_nt")

@@ -94,3 +94,9 @@ def test_blocks_without_targets_and_boundaries_at_ends(spark):
     assert [r.block for r in derive_blocks(code, none, "fn", F.col("ends")).orderBy("addr").collect()] == [0, 0, 8]
     points, starts = spark.createDataFrame([(3,), (8,), (9,)], "at long"), spark.createDataFrame([(3,), (8,)], "s long")
     assert {r["at"]: r.following for r in next_boundary(points, starts, "at", "s").collect()} == {3: 8, 8: None, 9: None}
+
+
+def test_java_class_files_are_no_fat_files(spark):
+    rows = [("fat", "CAFEBABE00000002"), ("java", "CAFEBABE00000034"), ("preview", "CAFEBABEFFFF0041"), ("cut", "CAFEBABE")]
+    found = spark.createDataFrame(rows, "name string, code string").select("name", binaries.dispatch(F.unhex("code")).alias("format"))
+    assert {r.name: r.format for r in found.collect()} == {"fat": "macho", "java": None, "preview": None, "cut": None}
