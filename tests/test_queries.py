@@ -13,6 +13,7 @@ import ferrule.plans.escape_queries  # noqa: F401
 import ferrule.plans.graph_queries  # noqa: F401
 import ferrule.plans.image_queries  # noqa: F401
 import ferrule.plans.page_queries  # noqa: F401
+import ferrule.plans.string_queries  # noqa: F401
 import ferrule.plans.symbol_queries  # noqa: F401
 from ferrule.plans.registry import ORACLES, QUERIES
 
