@@ -9,13 +9,15 @@ its slots are consistent, that is if one value of the item always meets one valu
 enough: ``MATCHES`` windows, or all windows of a shorter item. Re-parameterised questions match like copies do. A value
 on the edge of a window may have merged with what is before or behind the copy, so there the value, or what it ends or
 begins with, must agree. Beside the template, windows of the plain words find items copied whole, whatever
-the words around do to the placeholders; they need no slots.
+the words around do to the placeholders; they need no slots. An item without any plain window of ``LITERALS`` words
+(short, or mostly numbers) is bare: all its plain windows count, and all of them must meet the document, in their order. A
+bare item of fewer than ``BARE`` tokens would be met by chance, so it must be the whole document.
 
 The benchmark's windows are sent to the tasks, as a filter before the join, only if they are at most ``SENT`` rows;
 otherwise all windows of the documents are joined.
 
 Edge cases: null and empty texts have no windows; items of fewer tokens than a window are one window of their own
-length, items below ``LITERALS`` words are never matched; equal items count as the one with the smallest id; rows of
+length; items without letters and digits are never matched; equal items count as the one with the smallest id; rows of
 one doc_id and different texts share a verdict; rows without an id are judged by their text; an empty benchmark flags nothing;
 texts of any length are read whole; further columns are carried.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import bounded_batches, stage_table, table
 from ferrule.llm.hashing import U64, mix, power_tables, run_hashes
 
-WINDOW, LITERALS, MATCHES = 8, 4, 6
+WINDOW, LITERALS, MATCHES, BARE = 8, 4, 6, 3
 #: Most benchmark windows that are sent to tasks; each takes 8 bytes.
 SENT = 4 << 20
 
@@ -132,6 +134,7 @@ class Template:
         ]
 
 
+#: A negative size marks windows of bare items.
 _WINDOWS = "known boolean, id long, plain boolean, size int, at int, hash long, slots array<string>, n_windows int"
 _NAMES = ["known", "id", "plain", "size", "at", "hash", "slots", "n_windows"]
 
@@ -146,13 +149,13 @@ def _item_windows(items: DataFrame) -> DataFrame:
                 t = Template((text or "").encode())
                 for plain, tokens in ((False, t.hashes), (True, t.plain)):
                     size = min(WINDOW, len(tokens))
-                    hashes, good = t.windows(size, plain) if size else ([], [])
+                    hashes, good = t.windows(size, plain) if size else (np.empty(0, np.uint64), np.empty(0, bool))
+                    bare = plain and not good.any()
+                    good = np.ones(len(hashes), bool) if bare else good
                     rows += [
-                        (True, ident, plain, size, int(i), int(hashes[i].astype(np.int64)), [] if plain else t.slots(i, size), int(np.sum(good)))
+                        (True, ident, plain, -size if bare else size, int(i), int(hashes[i].astype(np.int64)), [] if plain else t.slots(i, size), int(np.sum(good)))
                         for i in np.flatnonzero(good)
                     ]
-                    if not np.any(good):  # too few words in the template: never matched
-                        break
             yield pd.DataFrame(rows, columns=_NAMES)
 
     distinct = items.groupBy("text").agg(F.min("item_id").alias("id"))
@@ -170,8 +173,12 @@ def _document_windows(docs: DataFrame, sizes: list[tuple[bool, int]], wanted: di
                     continue
                 t = Template(text.encode())
                 for plain, size in sizes:
-                    hashes, good = t.windows(size, plain)
+                    hashes, good = t.windows(abs(size), plain)
+                    if size < 0:
+                        good = np.full(len(hashes), -size >= BARE or len(t.plain) == -size)
                     if wanted is not None and len(hashes):
+                        if not len(wanted[plain]):
+                            continue
                         spot = np.minimum(np.searchsorted(wanted[plain], hashes), len(wanted[plain]) - 1)
                         good &= wanted[plain][spot] == hashes
                     rows += [
