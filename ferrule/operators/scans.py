@@ -15,6 +15,14 @@ A64_ADR, A64_ADRP = (0x9F000000, 0x10000000), (0x9F000000, 0x90000000)
 #: Fixed byte patterns that open x86 functions, in all images and in 64-bit ones.
 X86_PROLOGUES = ("8BFF558BEC", "89FF558BEC", "558BEC", "5589E5", "554889E5", "F30F1EFA")
 X64_PROLOGUES = ("41574156", "40534883EC", "40554883EC")
+#: Fixed bytes between x86 functions: single ones, instructions without effect (beside NOPs), and openings that look like one.
+X86_PADDING = ("90", "CC", "F4", "00")
+X86_IDLE = (
+    "0F0B", "8BC0", "89C0", "8BFF", "89FF", "8D00", "86C0", "662E", "EB00", "8BC9", "8BD2", "8BDB", "8BF6",
+    "8D4000", "8D0000", "8D4900", "8D2424", "8D7600", "8D742600", "8D642400", "8DB600000000", "8DBF00000000",
+    "8DB42600000000", "8DBC2700000000", "89F68DBC2700000000",
+)
+X86_PATCH_PLACES = ("8BFF558BEC", "89FF558BEC")
 
 
 def matches(word: Column, pattern: tuple[int, int]) -> Column:
@@ -109,16 +117,36 @@ def data_pointers(words: DataFrame, code: DataFrame, bucket: int = 1 << 16) -> D
     return range_join(points, code, "dst", bucket, ("binary_id",)).select("binary_id", "src", "dst").distinct()
 
 
-def gap_starts(images: DataFrame, gaps: DataFrame, padding: tuple[str, ...] = ("00", "90", "CC")) -> DataFrame:
-    """(binary_id, addr): the first byte of each gap (binary_id, gap_start, gap_end) that is not padding."""
+def gap_starts(images: DataFrame, gaps: DataFrame, bitness: Column | None = None) -> DataFrame:
+    """(binary_id, addr): the first byte of each gap (binary_id, gap_start, gap_end) of x86 code that is no filler.
+
+    Filler is read from the gap's start, token by token: bytes of ``X86_PADDING``, NOP instructions of any length by their
+    encoding, and ``X86_IDLE``, the longest first, unless it is the patch place that opens a function of 32-bit images. A
+    token may end behind the gap. ``bitness`` is a column of ``images``; without it, images count as 32-bit ones.
+    Each token starts where the last one ended, so the scan takes no more room however long the filler is.
+    """
     held = gaps.join(images, "binary_id")
-    size = (F.col("gap_end") - F.col("gap_start")).cast("int")
-    code = F.hex(F.substring("image", (F.col("gap_start") - F.col("base")).cast("int") + 1, size))
-    skipped = F.length(F.regexp_extract(code, f"^((?:{'|'.join(padding)})*)", 1)) / 2
-    found = held.withColumns({"_skip": skipped.cast("long"), "_n": (F.length(code) / 2).cast("long")}).where("_skip < _n")
+    at, size = (F.col("gap_start") - F.col("base")).cast("int"), (F.col("gap_end") - F.col("gap_start")).cast("int")
+    # filler is judged by whole instructions, of which none is longer than 15 bytes
+    code = F.hex(F.substring("image", at + 1, size + 14))
+    tokens = lambda wide: F.regexp_extract_all(code, F.lit(_filler(wide)), F.lit(0))
+    narrow = F.lit(True) if bitness is None else F.coalesce(bitness != 64, F.lit(True))
+    skipped = F.aggregate(F.when(narrow, tokens(False)).otherwise(tokens(True)), F.lit(0), lambda n, t: n + F.length(t)) / 2
+    there = F.least(size, F.octet_length("image") - at)
+    found = held.where(at >= 0).withColumns({"_skip": skipped.cast("long"), "_n": there.cast("long")}).where("_skip < _n")
     return found.select("binary_id", (F.col("gap_start") + F.col("_skip")).cast("long").alias("addr"))
 
 
+def _filler(wide: bool) -> str:
+    """One token of filler, in digits, behind the last one; ``wide`` for 64-bit images, which have a prefix more."""
+    # operand bytes of 0F 1F by its second byte: register, plain memory, scaled index, with 1 or 4 bytes of displacement
+    operand = "[C-F].|[0-3][^45CD]|[0-3][5D].{8}|[0-3][4C].(?:[^5D]|[5D].{8})|[4-7][^4C]..|[4-7][4C].{4}|[89AB][^4C].{8}|[89AB][4C].{10}"
+    nop = f"(?:66|2E|26|36|3E|64|65){{0,12}}{'(?:4.)?' if wide else ''}0F1F(?:{operand})|(?:66){{1,14}}90"
+    idle = "|".join(sorted(X86_IDLE, key=len, reverse=True))
+    guard = "" if wide else f"(?!{'|'.join(X86_PATCH_PLACES)})"
+    return f"\\G(?:(?:{'|'.join(X86_PADDING)}){{1,4096}}+|{nop}|{guard}(?:{idle}))"
+
+
 def landing_pads(words: DataFrame) -> DataFrame:
     """(binary_id, addr) of BTI instructions, which mark targets of indirect branches."""
     return words.where(matches(F.col("word"), (0xFFFFFF3F, 0xD503241F))).select("binary_id", "addr")

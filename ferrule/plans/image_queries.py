@@ -325,37 +325,58 @@ def memory_reads(spark, sf_dir):
 
 
 def _words(spark, sf_dir: str) -> DataFrame:
-    """Images of four words: a call, a frame save, an address of a page and a plain number."""
+    """Images of eight words: calls ahead and back, a frame save, addresses of a page and near, a signed return, the address of
+    the second word as far as 32 bits hold it, and noise that may look like any of them."""
     k, c = F.col("o_orderkey"), F.col("o_custkey") % 1000
-    image = joined(le(0x94000000 + c, 4), le(0xA9BF7BFD, 4), le(0x90000000 + 32 * c, 4), le(k * 65536 + 4, 4))
+    parts = (0x94000000 + c, 0xA9BF7BFD, 0x90000000 + 32 * c, (k * 65536 + 4) % (1 << 32), 0x97FFFFFF - c, k * 40503 % (1 << 32), 0x10000000 + 32 * c, 0xD503233F)
+    image = joined(*[le(p, 4) for p in parts])
     return table(spark, sf_dir, "orders").select(k.alias("binary_id"), (k * 65536).alias("base"), image.alias("image"), c.alias("c"))
 
 
-@query("image_words", "SELECT o_orderkey AS binary_id, o_orderkey * 65536 + 4 AS addr, CAST(2847898621 AS BIGINT) AS word FROM orders")
+#: All words of these images; a call's distance and a page's number have 26 and 21 signed bits.
+WORDS_SQL = """(SELECT binary_id, base + 4 * (i - 1) AS addr, w[i] AS word, base, n FROM (
+    SELECT o_orderkey AS binary_id, o_orderkey * 65536 AS base, CAST(8 AS BIGINT) AS n, unnest(range(1, 9)) AS i,
+    [2483027968 + o_custkey % 1000, 2847898621, 2415919104 + 32 * (o_custkey % 1000), (o_orderkey * 65536 + 4) % 4294967296,
+     2550136831 - o_custkey % 1000, o_orderkey * 40503 % 4294967296, 268435456 + 32 * (o_custkey % 1000), 3573752639] AS w FROM orders))"""
+
+
+@query("image_words", f"SELECT binary_id, addr, word FROM {WORDS_SQL}")
 def image_words(spark, sf_dir):
-    return binaries.words(_words(spark, sf_dir)).where("addr % 65536 = 4")
+    return binaries.words(_words(spark, sf_dir))
 
 
-@query("a64_calls", "SELECT o_orderkey AS binary_id, o_orderkey * 65536 AS src, o_orderkey * 65536 + o_custkey % 1000 * 4 AS dst FROM orders")
+@query(
+    "a64_calls",
+    f"""SELECT binary_id, addr AS src, addr + 4 * (CASE WHEN word % 67108864 >= 33554432 THEN word % 67108864 - 67108864 ELSE word % 67108864 END) AS dst
+        FROM {WORDS_SQL} WHERE word // 67108864 = 37""",
+)
 def a64_calls(spark, sf_dir):
-    return scans.a64_calls(binaries.words(_words(spark, sf_dir)).where("addr % 65536 = 0"))
+    return scans.a64_calls(binaries.words(_words(spark, sf_dir)))
 
 
-@query("a64_prologues", "SELECT o_orderkey AS binary_id, o_orderkey * 65536 + 4 AS addr FROM orders")
+@query("a64_prologues", f"SELECT binary_id, addr FROM {WORDS_SQL} WHERE word = 3573752639 OR word & 4290805759 = 2843769853")
 def a64_prologues(spark, sf_dir):
-    return scans.a64_prologues(binaries.words(_words(spark, sf_dir)).where("addr % 65536 < 8"))
+    return scans.a64_prologues(binaries.words(_words(spark, sf_dir)))
 
 
-@query("a64_addresses", "SELECT o_orderkey AS binary_id, o_orderkey * 65536 + 8 AS src, o_orderkey * 65536 + o_custkey % 1000 * 4 * 4096 AS dst FROM orders")
+@query(
+    "a64_addresses",
+    f"""WITH p AS (SELECT *, word // 32 % 524288 * 4 + word // 536870912 % 4 AS raw FROM {WORDS_SQL} WHERE word // 16777216 % 32 = 16),
+        q AS (SELECT *, CASE WHEN raw >= 1048576 THEN raw - 2097152 ELSE raw END AS d FROM p)
+        SELECT binary_id, addr AS src, CASE WHEN word >= 2147483648 THEN addr // 4096 * 4096 + d * 4096 ELSE addr + d END AS dst FROM q""",
+)
 def a64_addresses(spark, sf_dir):
-    return scans.a64_addresses(binaries.words(_words(spark, sf_dir)).where("addr % 65536 = 8"))
+    return scans.a64_addresses(binaries.words(_words(spark, sf_dir)))
 
 
-@query("data_pointers", "SELECT o_orderkey AS binary_id, o_orderkey * 65536 + 12 AS src, o_orderkey * 65536 + 4 AS dst FROM orders WHERE o_orderkey < 65536 AND o_orderkey % 2 = 0")
+@query(
+    "data_pointers",
+    f"SELECT DISTINCT binary_id, addr AS src, word AS dst FROM {WORDS_SQL} WHERE binary_id % 2 = 0 AND word >= base AND word < base + 4 * n",
+)
 def data_pointers(spark, sf_dir):
-    words = binaries.words(_words(spark, sf_dir).where("binary_id < 65536")).where("addr % 65536 = 12")
-    code = _words(spark, sf_dir).where("binary_id % 2 = 0").select("binary_id", F.col("base").alias("start"), (F.col("base") + 16).alias("end"))
-    return scans.data_pointers(words, code)
+    images = _words(spark, sf_dir)
+    code = images.where("binary_id % 2 = 0").select("binary_id", F.col("base").alias("start"), (F.col("base") + F.octet_length("image")).alias("end"))
+    return scans.data_pointers(binaries.words(images), code)
 
 
 def _x86(spark, sf_dir: str) -> DataFrame:
@@ -391,6 +412,25 @@ def gap_starts(spark, sf_dir):
     return scans.gap_starts(rows.select("binary_id", "base", "image"), gaps)
 
 
+#: Fillers by their place: NOPs, moves and address loads without effect, prefixes, traps.
+FILLERS = ("660F1F440000", "0F1F00", "8D742600", "89F68DBC2700000000", "EB00", "662E0F1F840000000000", "F4", "666690", "8BFF", "0F1F8000000000", "8DB600000000", "66660F1F840000000000")
+
+
+@query(
+    "gap_fillers",
+    f"""WITH g AS (SELECT *, (['{"', '".join(FILLERS)}'])[CAST(o_custkey % {len(FILLERS)} + 1 AS INTEGER)] AS filler FROM orders)
+        SELECT o_orderkey AS binary_id, o_orderkey * 4096 + length(filler) // 2 * (o_orderkey % 90) + CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS addr FROM g""",
+)
+def gap_fillers(spark, sf_dir):
+    """Up to 89 fillers in a row before a function with a patch place, which only 32-bit images have; the gap goes on behind it."""
+    filler = F.element_at(F.array(*map(F.lit, FILLERS)), (F.col("o_custkey") % len(FILLERS) + 1).cast("int"))
+    image = joined(F.repeat(filler, (F.col("o_orderkey") % 90).cast("int")), F.lit("8BFF558BEC9090C3"))
+    bits = F.when(F.col("o_orderkey") % 3 == 0, 64).otherwise(32)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("binary_id"), (F.col("o_orderkey") * 4096).alias("base"), image.alias("image"), bits.alias("bits"))
+    gaps = rows.select("binary_id", F.col("base").alias("gap_start"), (F.col("base") + F.octet_length("image")).alias("gap_end"))
+    return scans.gap_starts(rows, gaps, F.col("bits"))
+
+
 @query("start_scores", f"SELECT binary_id, CASE WHEN c % 3 = 0 THEN 50 WHEN c % 3 = 1 THEN 30 ELSE 0 END AS start_score FROM {X86_SQL}")
 def start_scores(spark, sf_dir):
     code = F.when(F.col("c") % 3 == 0, "8BFF558BEC").when(F.col("c") % 3 == 1, "558BEC9090").otherwise("0000000000")
