@@ -529,13 +529,18 @@ def dex_type_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.dex_type_name(name).alias("name"))
 
 
+#: Control characters without a letter of their own, each replaced by its code.
+_CONTROLS = [i for i in (*range(32), 127) if i not in (9, 10, 13)]
+
+
 @query(
     "dex_escaped",
-    r"""SELECT doc_id, sha256(replace(replace(replace(replace(replace(t, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')) AS escaped
-        FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]'))""",
-)
+    "SELECT doc_id, sha256(" + "replace(" * len(_CONTROLS)
+    + r"""replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"""
+    + "".join(rf", chr({i}), '\u{i:04x}')" for i in _CONTROLS) + ") AS escaped FROM documents WHERE text IS NOT NULL",
+)
 def dex_escaped(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"))
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     return docs.select("doc_id", F.sha2(scalars.dex_escaped(F.col("text")), 256).alias("escaped"))
 
 
