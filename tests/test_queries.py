@@ -8,6 +8,7 @@ import os
 import duckdb
 import pytest
 
+import ferrule.plans.api_queries  # noqa: F401
 import ferrule.plans.code_queries  # noqa: F401  registers with it the other queries
 import ferrule.plans.escape_queries  # noqa: F401
 import ferrule.plans.graph_queries  # noqa: F401
