@@ -47,13 +47,14 @@ def named_exports(database: DataFrame) -> DataFrame:
 
 def page_words(pages: DataFrame, layout: DataFrame, size: int) -> DataFrame:
     """(binary_id, addr, word): the aligned words of ``size`` bytes of pages, those below ``LOW`` left out."""
-    digits = F.expr(f"transform(sequence(1, {2 * PAGE}, {2 * size}), i -> struct(i, substring(digits, i, {2 * size}) AS w))")
-    cut = pages.select("binary_id", "page", F.hex("bytes").alias("digits")).select("binary_id", "page", F.explode(digits).alias("d"))
+    # one expression over a page's digits, which is derived once for all of its words
+    digits = F.regexp_extract_all(F.hex("bytes"), F.lit(f"(.{{{2 * size}}})"), F.lit(1))
+    cut = pages.select("binary_id", "page", F.posexplode(digits).alias("i", "w"))
     # upper bytes stand behind the lower two
-    held = cut.where(F.substring("d.w", 5, 2 * size) != "00" * (size - 2))
-    word = F.conv(F.array_join(F.reverse(F.regexp_extract_all("d.w", F.lit("(..)"), F.lit(1))), ""), 16, 10).cast("decimal(20,0)")
+    held = cut.where(F.substring("w", 5, 2 * size) != "00" * (size - 2))
+    word = F.conv(F.array_join(F.reverse(F.regexp_extract_all("w", F.lit("(..)"), F.lit(1))), ""), 16, 10).cast("decimal(20,0)")
     bases = layout.where("fault IS NULL").select("binary_id", F.col("base").cast("decimal(20,0)").alias("base"))
-    addr = (F.col("base") + F.col("page") * PAGE + ((F.col("d.i") - 1) / 2).cast("long")).cast("decimal(20,0)")
+    addr = (F.col("base") + F.col("page") * PAGE + F.col("i") * size).cast("decimal(20,0)")
     return held.join(bases, "binary_id").select("binary_id", addr.alias("addr"), word.alias("word"))
 
 
