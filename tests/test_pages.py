@@ -164,3 +164,16 @@ def test_no_files(spark, image):
     files = frame(spark, [])
     layout, extents = image(files)
     assert layout.count() == extents.count() == pages.image_pages(files, extents).count() == 0
+
+
+def test_no_growing_side_is_broadcast(spark):
+    """Small in a file is not small in rows: no plan of a growing table may depend on what staged files weigh."""
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    files = frame(spark, [(f"r{i}", elf([(1, 100, BASE, 50, 5000)], [(1, BASE + 9, 9, 10)], bytes(200))) for i in range(3)])
+    layout, extents = pages.elf_image(files)
+    stored = pages.image_pages(files, extents)
+    asked = layout.select("binary_id", (F.col("base") + 9).alias("addr"), F.lit(8).alias("n"))
+    read = pages.read_pages(asked, layout, stored)
+    for df in (extents, stored, read):
+        assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
+    assert read.where("read IS NOT NULL").count() == 3
