@@ -3,7 +3,7 @@
 An address is looked up by an equi-join with its page; no row holds an image. A text may run over any number of pages: of
 each page only the length of its printable beginning is needed to tell where a text ends, and runs of pages that are printable
 throughout are islands, so the end of a text of a thousand pages is found by the same joins as that of a short one. Texts
-are read once for each address, however many instructions refer to it.
+are read once for each address, however many instructions refer to it. Joins are told to sort, as those of ``sources.pages``.
 
 Texts are printable ASCII, ended by a zero byte or by a given length. UTF-16 text has no rule of its own: its first
 character and the zero after it are a text already, and the narrow rule comes first.
@@ -48,7 +48,7 @@ def pointer_chains(points: DataFrame, layout: DataFrame, pages: DataFrame) -> Da
     image's end, and after ``CHAIN`` addresses. Each round reads, for all chains that still grow, the next pointer.
     """
     image = layout.where("fault IS NULL AND size > 0").select("binary_id", F.col("base").cast(ADDRESS).alias("_low"), (F.col("base") + F.col("size")).cast(ADDRESS).alias("_high"))
-    asked = points.where("addr IS NOT NULL").select("binary_id", F.col("addr").cast(ADDRESS).alias("addr")).distinct().join(image, "binary_id")
+    asked = points.where("addr IS NOT NULL").select("binary_id", F.col("addr").cast(ADDRESS).alias("addr")).distinct().join(image.hint("merge"), "binary_id")
     grown = staged(asked.where("addr >= _low AND addr < _high").withColumn("chain", F.array("addr")), "chains")
     ended: list[DataFrame] = [grown]
     for _ in range(CHAIN - 1):
@@ -72,7 +72,7 @@ def read_texts(asked: DataFrame, layout: DataFrame, pages: DataFrame) -> DataFra
     bytes, whichever comes first. A text has one character or more.
     """
     inside = layout.where("fault IS NULL").select("binary_id", F.col("base").alias("_base"), F.col("size").alias("_size"))
-    placed = asked.select("binary_id", F.col("addr").cast(ADDRESS).alias("addr"), F.col("most").cast(ADDRESS).alias("most")).distinct().join(inside, "binary_id")
+    placed = asked.select("binary_id", F.col("addr").cast(ADDRESS).alias("addr"), F.col("most").cast(ADDRESS).alias("most")).distinct().join(inside.hint("merge"), "binary_id")
     placed = placed.where("addr >= _base AND addr < _base + _size").withColumn("_at", (F.col("addr") - F.col("_base")).cast("long"))
     # no text is longer than its image; one byte more than that is never reached
     fits = F.least("most", (F.col("_size") + 1).cast(ADDRESS)).cast("long")
@@ -86,7 +86,7 @@ def read_texts(asked: DataFrame, layout: DataFrame, pages: DataFrame) -> DataFra
     islands = full.withColumn("last", F.max("page").over(Window.partitionBy("binary_id", "run"))).select("binary_id", F.col("page").alias("_next"), "last")
     ends = facts.select("binary_id", F.col("page").alias("_end"), "head", "stop")
 
-    first = placed.join(pages.select("binary_id", F.col("page").alias("_page"), "bytes"), ["binary_id", "_page"])
+    first = placed.join(pages.select("binary_id", F.col("page").alias("_page"), "bytes").hint("merge"), ["binary_id", "_page"])
     first = first.withColumn("_part", F.substring("bytes", F.col("_off") + 1, F.lit(PAGE))).withColumn("_run", _run(F.col("_part")).cast("long")).where("_run > 0")
     first = first.withColumn("_stop", F.hex(F.substring("_part", F.col("_run").cast("int") + 1, F.lit(1)))).drop("bytes")
     done = (F.col("_run") + F.col("_off") < PAGE) | F.coalesce(F.col("_most") <= F.col("_run"), F.lit(False))
@@ -101,12 +101,12 @@ def read_texts(asked: DataFrame, layout: DataFrame, pages: DataFrame) -> DataFra
     keys = ["binary_id", "addr", "most"]
     short = closed(first.where("_done")).select(*keys, text("_part").alias("text"))
 
-    far = first.where("NOT _done").withColumn("_next", F.col("_page") + 1).join(islands, ["binary_id", "_next"], "left")
-    far = far.withColumn("_end", F.coalesce(F.col("last") + 1, F.col("_next"))).join(ends, ["binary_id", "_end"], "left")
+    far = first.where("NOT _done").withColumn("_next", F.col("_page") + 1).join(islands.hint("merge"), ["binary_id", "_next"], "left")
+    far = far.withColumn("_end", F.coalesce(F.col("last") + 1, F.col("_next"))).join(ends.hint("merge"), ["binary_id", "_end"], "left")
     run = F.col("_end") * PAGE + F.coalesce("head", F.lit(0)) - F.col("_at")
     far = closed(far.withColumn("_run", run).withColumn("_stop", F.coalesce("stop", F.lit("00"))))
     final = F.floor((F.col("_at") + F.col("_take") - 1) / PAGE)
-    each = far.select(*keys, "_off", "_take", F.explode(F.sequence("_page", final)).alias("page")).join(pages.select("binary_id", "page", "bytes"), ["binary_id", "page"])
+    each = far.select(*keys, "_off", "_take", F.explode(F.sequence("_page", final)).alias("page")).join(pages.select("binary_id", "page", "bytes").hint("merge"), ["binary_id", "page"])
     whole = each.groupBy(*keys, "_off", "_take").agg(F.sort_array(F.collect_list(F.struct("page", "bytes"))).alias("parts"))
     joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["bytes"])), ""))
     long = whole.select(*keys, F.decode(F.substring(joined, F.col("_off") + 1, F.col("_take").cast("int")), "US-ASCII").alias("text"))
@@ -116,7 +116,7 @@ def read_texts(asked: DataFrame, layout: DataFrame, pages: DataFrame) -> DataFra
 def _with_texts(asked: DataFrame, layout: DataFrame, pages: DataFrame) -> DataFrame:
     """``asked`` (binary_id, addr, most and others) joined with the texts at its addresses; rows without text go."""
     texts = read_texts(asked, layout, pages).withColumn("_most", F.coalesce("most", F.lit(-1))).drop("most")
-    return asked.withColumn("_most", F.coalesce(F.col("most").cast(ADDRESS), F.lit(-1))).join(texts, ["binary_id", "addr", "_most"]).drop("_most")
+    return asked.withColumn("_most", F.coalesce(F.col("most").cast(ADDRESS), F.lit(-1))).join(texts.hint("merge"), ["binary_id", "addr", "_most"]).drop("_most")
 
 
 def function_strings(refs: DataFrame, layout: DataFrame, pages: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def function_strings(refs: DataFrame, layout: DataFrame, pages: DataFrame) -> Da
     refs = refs.select("binary_id", "fn", "src", F.col("dst").cast(ADDRESS).alias("start"))
     chains = pointer_chains(refs.select("binary_id", F.col("start").alias("addr")), layout, pages)
     named = _with_texts(chains.withColumn("most", F.lit(None).cast(ADDRESS)), layout, pages)
-    return refs.join(named.select("binary_id", "start", "addr", "text"), ["binary_id", "start"]).select("binary_id", "fn", "src", "addr", "text").distinct()
+    return refs.join(named.select("binary_id", "start", "addr", "text").hint("merge"), ["binary_id", "start"]).select("binary_id", "fn", "src", "addr", "text").distinct()
 
 
 def go_function_strings(instructions: DataFrame, refs: DataFrame, layout: DataFrame, pages: DataFrame, word: Column) -> DataFrame:
@@ -147,11 +147,11 @@ def go_function_strings(instructions: DataFrame, refs: DataFrame, layout: DataFr
     )
     moves = (F.col("_one") == "mov") & (F.col("_two") == "mov")
     length = F.regexp_extract("_moved", "^[^,]*,\\s*\\+?([0-9]{1,19})\\s*$", 1).try_cast(ADDRESS)
-    users = ahead.join(single, ["binary_id", "addr"]).select("binary_id", "fn", F.col("addr").alias("src"), F.col("dst").alias("addr"), "word", F.when(moves & (length > 0), length).alias("most"))
+    users = ahead.join(single.hint("merge"), ["binary_id", "addr"]).select("binary_id", "fn", F.col("addr").alias("src"), F.col("dst").alias("addr"), "word", F.when(moves & (length > 0), length).alias("most"))
     users = staged(users, "users")
 
     stated = staged(_with_texts(users.where("most IS NOT NULL").drop("word"), layout, pages).select("binary_id", "fn", "src", "addr", "text"), "stated")
-    rest = users.join(stated.select("binary_id", "fn", "src").distinct(), ["binary_id", "fn", "src"], "left_anti")
+    rest = users.join(stated.select("binary_id", "fn", "src").distinct().hint("merge"), ["binary_id", "fn", "src"], "left_anti")
     pairs = rest.select("binary_id", "addr", "word", (2 * F.col("word")).alias("n")).distinct()
     digits = F.hex("read")
     half = F.col("word") * 2
@@ -159,4 +159,4 @@ def go_function_strings(instructions: DataFrame, refs: DataFrame, layout: DataFr
     value = lambda part: F.conv(_swapped(part), 16, 10).cast(ADDRESS)  # noqa: E731  of digits, not of bytes
     led = read_pages(pairs, layout, pages).where("read IS NOT NULL").select("binary_id", F.col("addr").alias("pair"), "word", value(pointer).alias("addr"), value(size).alias("most"))
     texts = _with_texts(staged(led, "pairs"), layout, pages).select("binary_id", F.col("pair").alias("addr"), "word", "text")
-    return stated.unionByName(rest.join(texts, ["binary_id", "addr", "word"]).select("binary_id", "fn", "src", "addr", "text")).distinct()
+    return stated.unionByName(rest.join(texts.hint("merge"), ["binary_id", "addr", "word"]).select("binary_id", "fn", "src", "addr", "text")).distinct()

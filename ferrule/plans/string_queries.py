@@ -39,9 +39,9 @@ def _named(at: Column | int) -> Column:
 
 
 def _references(code, layout):
-    image = code.join(layout, "binary_id")
+    image = code.join(layout.hint("merge"), "binary_id")
     found = refs.data_refs(image, F.col("base"), F.col("size"))
-    return found.join(code.select("binary_id", F.col("addr").alias("src"), "fn"), ["binary_id", "src"])
+    return found.join(code.select("binary_id", F.col("addr").alias("src"), "fn").hint("merge"), ["binary_id", "src"])
 
 
 #: A part's text of up to 50 copies of its name, ten times over: it crosses up to four pages.
