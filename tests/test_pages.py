@@ -177,3 +177,16 @@ def test_no_growing_side_is_broadcast(spark):
     for df in (extents, stored, read):
         assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
     assert read.where("read IS NOT NULL").count() == 3
+
+
+def test_read_pages_deals_pages_by_their_number(spark, monkeypatch):
+    """No task sorts more than a part of the pages, nor all pages of an image, however well they compress."""
+    monkeypatch.setattr(pages, "PART", 4 * pages.PAGE)
+    stored = spark.range(40).select((F.col("id") * 0).alias("binary_id"), F.col("id").alias("page"), F.unhex(F.lit("41" * pages.PAGE)).alias("bytes"))
+    layout = spark.createDataFrame([(0, BASE, 41 * pages.PAGE, None)], "binary_id long, base long, size long, fault string")
+    asked = spark.range(41).select((F.col("id") * 0).alias("binary_id"), (F.col("id") * pages.PAGE + BASE + 4090).alias("addr"), F.lit(9).alias("n"))
+    read = pages.read_pages(asked, layout, stored)
+    rows = {int(r.addr - BASE) // pages.PAGE: r for r in read.collect()}
+    assert {k: None if r.read is None else bytes(r.read) for k, r in rows.items()} == {k: b"A" * 9 if k < 39 else b"A" * 6 + bytes(3) if k == 39 else None for k in range(41)}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 11), REPARTITION_BY_NUM") >= 4
