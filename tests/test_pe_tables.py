@@ -98,3 +98,20 @@ def test_names_for_numbers(spark):
     imports = spark.createDataFrame([("b", "ws2_32.dll", None, 115), ("b", "ws2_32.dll", None, 9), ("b", "x.dll", "own", None)], "binary_id string, dll string, name string, ordinal long")
     names = spark.createDataFrame([("ws2_32.dll", 115, "WSAStartup")], "dll string, ordinal long, name string")
     assert {r.name for r in pe_tables.named_ordinals(imports, names).collect()} == {"WSAStartup", "#9", "own"}
+
+
+def test_symbols_beyond_any_place(headers):
+    """A header whose symbol table lies above 2 ** 31 has none; the other files of the batch are read."""
+    whole = pe(bytes(64), {}, struct.pack("<8sIhHBB", b"own\0", 0x10, 1, 0x20, 2, 0) + struct.pack("<I", 4), 1)
+    broken = bytearray(whole)
+    struct.pack_into("<I", broken, 0x80 + 12, 0xF0000000)
+    files = headers(bytes(broken), whole)
+    assert [(r.binary_id, r.name) for r in pe_tables.coff_symbols(files).collect()] == [("f1", "own")]
+    assert {(r.binary_id, int(r.address)) for r in pe_tables.pe_function_symbols(files).collect()} == {("f0", BASE + 0x1000), ("f1", BASE + 0x1000), ("f1", BASE + 0x1010)}
+
+
+@pytest.mark.parametrize("reader", ["pe_imports", "import_chains", "pe_exports", "coff_symbols", "pe_function_symbols"])
+def test_tables_are_read_for_many_files_at_once(headers, reader):
+    """No expression is interpreted for each entry, and a file's sections are not parsed before and beside its reader."""
+    text = getattr(pe_tables, reader)(headers(pe(bytes(64), {})))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "lambda" not in text
