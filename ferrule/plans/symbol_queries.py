@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.plans.built_files import Built, built
-from ferrule.plans.image_queries import _files
 from ferrule.plans.registry import query, table
 from ferrule.sources import binaries, dex_names, elf_symbols, pe_tables
 
@@ -22,8 +21,7 @@ RVA, RAW, WIDE, NARROW = 0x2000, 512, 0x140000000, 0x400000
 def line_items(spark, sf_dir: str) -> DataFrame:
     """(k, n, items): per order its line items (p, s) in a fixed order."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct("l_linenumber", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).alias("x"))
-    found = rows.groupBy("k").agg(F.sort_array(F.collect_list("x")).alias("items"), F.count("*").alias("n"))
-    return found.repartition(4 * spark.sparkContext.defaultParallelism)  # few bytes, but much to build from them
+    return rows.groupBy("k").agg(F.sort_array(F.collect_list("x")).alias("items"), F.count("*").alias("n"))
 
 
 #: The same rows for the oracles, with each item's place ``i`` in its order of ``n``.
@@ -32,24 +30,17 @@ ITEMS = """WITH it AS (SELECT l_orderkey AS k, l_partkey AS p, l_suppkey AS s, c
 f AS (SELECT *, k % 2 = 0 AS wide, CASE WHEN k % 2 = 0 THEN 5368709120 + k * 65536 ELSE 4194304 END AS base FROM it)"""
 
 
-def built_once(build):
-    """The files that ``build`` writes, written once per application and input, as several queries read them."""
-    made: dict[tuple[str, str], DataFrame] = {}
+def files_of(spark, sf_dir: str, build) -> DataFrame:
+    """The files that ``build`` makes of orders. They are not staged: they are as fast to build as to read again, and larger
+    than the tables by far."""
+    made = built(line_items(spark, sf_dir), build).select(F.col("k").alias("binary_id"), F.col("c").alias("content"))
+    return made.withColumn("format", binaries.dispatch(F.col("content")))
 
-    def files(spark, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in made:
-            made[key] = build(spark, sf_dir)
-        return made[key]
 
-    return files
-
-
-@built_once
 def _pe_files(spark, sf_dir: str) -> DataFrame:
     """32-bit and 64-bit files: three libraries by supplier (the third without a lookup table), a delay-loaded one, exports
     (some forwarded, some unnamed, some empty), and COFF symbols with auxiliary records."""
-    return _files(built(line_items(spark, sf_dir), _pe_file), "k", F.col("c"))
+    return files_of(spark, sf_dir, _pe_file)
 
 
 def _pe_file(k, n, f, i, p, s) -> Built:
@@ -222,14 +213,13 @@ def pe_function_symbols(spark, sf_dir):
 FIRST, DYNAMIC, STATIC, SLOTS, STUBS = 704, 0x10000, 0x20000, 0x30000, 0x40000
 
 
-@built_once
 def _elf(spark, sf_dir: str) -> DataFrame:
     """Files of both classes and byte orders by order number: static and dynamic symbols, relocations with versions, stubs.
 
     Pairs of dynamic symbols and triples of static ones share an address; some are undefined, absolute, data, thread-local
     or local, and an undefined one may have a value.
     """
-    return _files(built(line_items(spark, sf_dir), _elf_file), "k", F.col("c"))
+    return files_of(spark, sf_dir, _elf_file)
 
 
 def _elf_file(k, n, f, i, p, s) -> Built:
@@ -363,11 +353,10 @@ def elf_stubs(spark, sf_dir):
 TEXT, FIXED = 160, ("V", "I", "Ljava/lang/Object;")
 
 
-@built_once
 def _dex(spark, sf_dir: str) -> DataFrame:
     """Files whose pools hold, per item, a class, a name with characters of one to four bytes, a short or long shorty, a
     prototype of up to two parameters, a field, and a method of the next item's class."""
-    return _files(built(line_items(spark, sf_dir), _dex_file), "k", F.col("c"))
+    return files_of(spark, sf_dir, _dex_file)
 
 
 def _dex_file(k, n, f, i, p, s) -> Built:

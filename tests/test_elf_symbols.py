@@ -77,3 +77,10 @@ def test_broken_files(files):
     assert [(r.binary_id, r.place, r.name) for r in elf_symbols.elf_symbols(frame).collect()] == [("f0", 1, None)]
     assert elf_symbols.elf_imports(elf_symbols.elf_relocations(frame)).collect() == []
     assert elf_symbols.linkage_stubs(frame).collect() == []
+
+
+@pytest.mark.parametrize("reader", ["elf_symbols", "elf_function_symbols", "elf_exported_symbols", "elf_relocations", "linkage_stubs"])
+def test_tables_are_read_for_many_files_at_once(files, reader):
+    """No expression is interpreted for each entry."""
+    text = getattr(elf_symbols, reader)(files(elf([])))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "lambda" not in text
