@@ -103,3 +103,14 @@ def test_references(spark):
     names = spark.createDataFrame([("b", "method", 0, "A->f()V")], "binary_id string, kind string, number int, name string")
     refs = spark.createDataFrame([("b", "method", 0, 4), ("b", "type", 7, 8)], "binary_id string, kind string, number int, addr int")
     assert {(r.addr, r["name"]) for r in dex_names.resolved(refs, names).collect()} == {(4, "A->f()V"), (8, "type@7")}
+
+
+def test_pools_are_read_for_many_files_at_once(spark):
+    """No expression is interpreted for each entry, also of texts with other characters, and a broken number ends no job."""
+    whole = dex(["V", "né\0😀"], [1], [], [], [])
+    broken = bytearray(whole)
+    struct.pack_into("<I", broken, 120, 0xFFFFFFFF)  # a type whose string lies above 2 ** 31
+    assert named(spark, whole, bytes(broken)) == {(i, "string", j): t for i in range(2) for j, t in enumerate(["V", "né\0😀"])} | {(0, "type", 0): "né\0😀", (1, "type", 0): "<?>"}
+    frame = spark.createDataFrame([(0, bytearray(whole), "dex")], "binary_id int, content binary, format string")
+    text = dex_names.dex_names(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "lambda" not in text
