@@ -10,14 +10,21 @@ Rows without binary_id or word, and words below ``LOW`` (never mapped, and most
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ferrule.sources.batches import Files, decimals, flat
 from ferrule.sources.pages import PAGE
 
 #: Fixed: libraries are loaded at multiples of this, and nothing below it is mapped.
 LOW = 1 << 16
+#: Pages that are cut at once.
+PAGES = 1024
 _MODULE = "map<string, struct<base_address: decimal(20,0), bitness: int, exports: array<struct<name: string, ordinal: long, address: decimal(20,0)>>>>"
 
 
@@ -45,17 +52,34 @@ def named_exports(database: DataFrame) -> DataFrame:
     return rows.groupBy("os", "address").agg(F.max_by(F.struct("dll", "api"), "place").alias("e")).select("os", "e.dll", "e.api", "address")
 
 
+def _cut_words(size: int):
+    """Cuts Arrow batches of (binary_id, page, bytes) into words, few of which are left; most of a page is zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                files = Files(part.column(2))
+                n = files.size // size
+                f = np.repeat(np.arange(files.n), n)
+                data = files.data[flat(files.start, n * size)].view(f"<u{size}").astype(np.uint64)
+                held = np.flatnonzero(data >= LOW)
+                i = held - (np.cumsum(n) - n)[f[held]]
+                own = pa.array(f[held])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(own), part.column(1).take(own), pa.array(i.astype(np.int32)), decimals(data[held], np.ones(len(held), bool))], names=["binary_id", "page", "i", "word"]
+                )
+
+    return run
+
+
 def page_words(pages: DataFrame, layout: DataFrame, size: int) -> DataFrame:
     """(binary_id, addr, word): the aligned words of ``size`` bytes of pages, those below ``LOW`` left out."""
-    # one expression over a page's digits, which is derived once for all of its words
-    digits = F.regexp_extract_all(F.hex("bytes"), F.lit(f"(.{{{2 * size}}})"), F.lit(1))
-    cut = pages.select("binary_id", "page", F.posexplode(digits).alias("i", "w"))
-    # upper bytes stand behind the lower two
-    held = cut.where(F.substring("w", 5, 2 * size) != "00" * (size - 2))
-    word = F.conv(F.array_join(F.reverse(F.regexp_extract_all("w", F.lit("(..)"), F.lit(1))), ""), 16, 10).cast("decimal(20,0)")
+    kind = pages.schema["binary_id"].dataType.simpleString()
+    cut = pages.select("binary_id", F.col("page").cast("long").alias("page"), "bytes").mapInArrow(_cut_words(size), f"binary_id {kind}, page long, i int, word decimal(20,0)")
     bases = layout.where("fault IS NULL").select("binary_id", F.col("base").cast("decimal(20,0)").alias("base"))
     addr = (F.col("base") + F.col("page") * PAGE + F.col("i") * size).cast("decimal(20,0)")
-    return held.join(bases, "binary_id").select("binary_id", addr.alias("addr"), word.alias("word"))
+    return cut.join(bases, "binary_id").select("binary_id", addr.alias("addr"), "word")
 
 
 def resolve_apis(words: DataFrame, exports: DataFrame) -> DataFrame:

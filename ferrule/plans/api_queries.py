@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ferrule.operators import api_names
-from ferrule.plans.image_queries import BASE, le
+from ferrule.plans.built_files import Built
+from ferrule.plans.image_queries import BASE
 from ferrule.plans.registry import query, table
 from ferrule.sources.pages import PAGE
+from ferrule.sources.pe_tables import spread
 
 #: Four libraries, far above 32 bits.
 FAR, APART = 0x7FF800000000, 1 << 28
@@ -28,6 +35,17 @@ def _exports(spark, sf_dir):
     return api_names.named_exports(rows)
 
 
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, api_names.PAGES):
+            part = batch.slice(at, api_names.PAGES)
+            n = np.asarray(pc.list_value_length(part.column(1)), np.int64)
+            f, i = spread(n)
+            out = Built(np.full(len(n), PAGE))
+            out.number(f, 8 * i, np.asarray(part.column(1).flatten(), np.int64), 8)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.zeros(len(n), np.int64)), out.contents()], names=["binary_id", "page", "bytes"])
+
+
 def _words(spark, sf_dir, moved: bool):
     """The words of dumps that hold a page each: a pointer to each part of an order, by address, and zeros behind them."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
@@ -35,8 +53,7 @@ def _words(spark, sf_dir, moved: bool):
     shift = (F.col("l_orderkey") % 7 - 3) * api_names.LOW * (F.col("p_size") % 4 + 1) if moved else F.lit(0)
     word = F.lit(FAR) + F.col("p_size") % 4 * APART + F.col("l_partkey") * 16 + shift
     slots = lines.groupBy(F.col("l_orderkey").alias("binary_id")).agg(F.sort_array(F.collect_set(word.cast("long"))).alias("m"))
-    content = F.unhex(F.rpad(F.array_join(F.transform("m", lambda w: le(w, 8)), ""), 2 * PAGE, "0"))
-    pages = slots.select("binary_id", F.lit(0).cast("long").alias("page"), content.alias("bytes"))
+    pages = slots.mapInArrow(_pages, "binary_id long, page long, bytes binary")
     layout = slots.select("binary_id", F.lit(BASE).alias("base"), F.lit(PAGE).alias("size"), F.lit(None).cast("string").alias("fault"))
     return api_names.page_words(pages, layout, 8)
 

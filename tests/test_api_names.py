@@ -61,3 +61,13 @@ def test_moved_libraries(spark):
     found = api_names.resolve_shifted(words, api_names.named_exports(api_names.database_exports(docs)), 3)
     assert {(r.binary_id, r.addr, r.dll, r.api) for r in found.collect()} == want
     assert api_names.resolve_shifted(words.limit(0), exports(spark)).count() == 0
+
+
+def test_pages_are_cut_many_at_once(spark):
+    """No page is spelled out in hex digits; bytes behind the last whole word are none."""
+    pages = spark.createDataFrame([("d", 0, struct.pack("<Q", 1 << 63) + b"\xff" * 7), ("e", 0, b""), ("f", 1, struct.pack("<Q", 1 << 20))], "binary_id string, page long, bytes binary")
+    layout = spark.createDataFrame([(b, 0, PAGE, None) for b in "def"], "binary_id string, base long, size long, fault string")
+    words = api_names.page_words(pages, layout, 8)
+    assert {(r.binary_id, int(r.addr), int(r.word)) for r in words.collect()} == {("d", 0, 1 << 63), ("f", PAGE, 1 << 20)}
+    text = words._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "hex(" not in text
