@@ -56,6 +56,11 @@ def test_scan_reads_needed_columns(spark, sf):
     assert "l_comment" not in text and "l_extendedprice" not in text
 
 
+def test_reports_are_parsed_once(spark, sf):
+    text = plan(QUERIES["report_statistics"](spark, sf))
+    assert "from_json" not in text and "to_json" not in text
+
+
 def test_entry(spark):
     import __spark_entry__
 
