@@ -16,13 +16,18 @@ def derive_blocks(instructions: DataFrame, targets: DataFrame, fn: str, ends: Co
     """``instructions`` with ``block``, the address of the leader of each.
 
     Leaders open a function, follow an instruction that ``ends`` a block, or are among ``targets`` (fn, dst).
+    Targets are merged into the order of addresses instead of being joined, so that rows are dealt by function only, and
+    instructions and targets that are dealt so already stay where they are.
     """
-    known = targets.select(fn, F.col("dst").alias("addr"), F.lit(True).alias("_target")).distinct()
-    order = Window.partitionBy(fn).orderBy("addr")
-    rows = instructions.join(known, [fn, "addr"], "left")
-    leads = F.col("_target").isNotNull() | F.coalesce(F.lag(ends).over(order), F.lit(True))
-    rows = rows.withColumn("_leader", F.when(leads, F.col("addr")))
-    return rows.withColumn("block", F.max("_leader").over(order)).drop("_target", "_leader")
+    rows = instructions.withColumn("_code", F.struct(ends.alias("ends")))
+    known = targets.select(fn, F.when(F.col(fn).isNotNull(), F.col("dst")).alias("addr"))
+    order = Window.partitionBy(fn).orderBy("addr", F.col("_code").isNotNull())
+    before, running = (order.rowsBetween(Window.unboundedPreceding, last) for last in (-1, 0))
+    aimed = F.last(F.when(F.col("_code").isNull(), F.col("addr")), True).over(running) == F.col("addr")
+    leads = F.coalesce(aimed, F.lit(False)) | F.coalesce(F.last("_code", True).over(before)["ends"], F.lit(True))
+    rows = rows.unionByName(known, allowMissingColumns=True).withColumn("_leads", leads).where("_code is not null")
+    leader = F.max(F.when(F.col("_leads"), F.col("addr"))).over(Window.partitionBy(fn).orderBy("addr"))
+    return rows.withColumn("block", leader).drop("_code", "_leads")
 
 
 def block_table(blocks: DataFrame, fn: str) -> DataFrame:

@@ -12,8 +12,8 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ferrule.operators.ranges import locate
 from ferrule.session import checkpoint_dir
 
 
@@ -141,31 +141,53 @@ def nesting(edges: DataFrame, roots: DataFrame, fn: str) -> DataFrame:
     return left.cogroup(right).applyInPandas(run, f"{fn} {kind}, nesting_depth long")
 
 
+#: Blocks that a task is given at most, as far as no function is larger.
+BLOCKS = 250_000
+
+
+def dealt(rows: DataFrame, blocks: DataFrame, fn: str) -> DataFrame:
+    """``rows`` dealt by function, into parts as leave ``BLOCKS`` of the blocks for a task to sort."""
+    return rows.repartition(1 + blocks.count() // BLOCKS, fn)
+
+
 def containing(points: DataFrame, blocks: DataFrame, at: str, fn: str) -> DataFrame:
-    """``points`` (fn, at) with ``block``, the start of the function's block that holds them, or null."""
-    found = locate(points, blocks.select(fn, "start"), at, "start", (fn,))
-    ends = blocks.select(fn, F.col("start").alias("located"), "end")
-    inside = found.join(ends, [fn, "located"], "left")
-    return inside.withColumn("block", F.when(F.col(at) < F.col("end"), F.col("located"))).drop("located", "end")
+    """``points`` (fn, at) with ``block``, the start of the function's block that holds them, or null.
+
+    Points and blocks are merged in order, and the last block carries forward. Blocks are counted too, so they should be stored.
+    """
+    starts = blocks.where(F.col(fn).isNotNull() & F.col("start").isNotNull())
+    starts = starts.select(fn, F.col("start").alias("_at"), F.struct("start", "end").alias("_block"))
+    merged = points.withColumn("_at", F.col(at)).withColumn("_point", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    order = Window.partitionBy(fn).orderBy("_at", F.col("_point").asc_nulls_first(), "_block").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt(merged, blocks, fn).withColumn("_block", F.last("_block", True).over(order)).where("_point = 1")
+    return found.withColumn("block", F.when(F.col(at) < F.col("_block")["end"], F.col("_block")["start"])).drop("_at", "_point", "_block")
 
 
 def normalised_cfg(blocks: DataFrame, edges: DataFrame, handlers: DataFrame, fn: str) -> DataFrame:
     """(fn, src, dst), dst null for nodes without successors: ordinary edges of blocks and those to exception handlers.
 
     ``handlers``: fn, start, end of the guarded range, target. A target inside a block counts as that block; a target in
-    none is a node of its own.
+    none is a node of its own. Blocks are counted and read several times, so they should be stored.
     """
     aimed = containing(handlers.withColumnsRenamed({"start": "lo", "end": "hi"}), blocks, "target", fn)
-    aimed = aimed.withColumn("dst", F.coalesce("block", "target"))
-    guarded = blocks.join(aimed.select(fn, "lo", "hi", "dst"), fn).where("lo < end AND start < hi").select(fn, F.col("start").alias("src"), "dst")
-    own = edges.join(blocks.select(fn, F.col("start").alias("src")), [fn, "src"], "left_semi").select(fn, "src", "dst")
-    every = own.unionByName(guarded).distinct()
-    nodes = blocks.select(fn, F.col("start").alias("src")).unionByName(aimed.select(fn, F.col("dst").alias("src"))).distinct()
-    return nodes.join(every, [fn, "src"], "left")
+    aimed = aimed.select(fn, "lo", "hi", F.coalesce("block", "target").alias("dst"))
+    guarded = dealt(blocks.select(fn, "start", "end"), blocks, fn).join(aimed.hint("merge"), fn).where("lo < end AND start < hi")
+
+    def told(rows: DataFrame, src: str, dst: str | None, kind: str) -> DataFrame:
+        return rows.select(fn, F.col(src).alias("src"), (F.col(dst) if dst else F.lit(None).cast(edges.schema["dst"].dataType)).alias("dst"), F.lit(kind).alias("kind"))
+
+    own = edges.where(F.col(fn).isNotNull() & F.col("src").isNotNull())
+    every = told(blocks, "start", None, "block").unionByName(told(aimed, "dst", None, "node")).unionByName(told(own, "src", "dst", "own")).unionByName(told(guarded, "start", "dst", "guarded"))
+    is_any = lambda *kinds: F.bool_or(F.col("kind").isin(*kinds))
+    every = dealt(every, blocks, fn).groupBy(fn, "src", "dst").agg(is_any("block", "node").alias("node"), is_any("block").alias("block"), is_any("own").alias("own"), is_any("guarded").alias("guarded"))
+    of_node = Window.partitionBy(fn, "src")
+    every = every.withColumn("edge", F.col("guarded") | (F.col("own") & F.bool_or("block").over(of_node)))
+    every = every.withColumn("leaf", F.col("node") & ~F.bool_or("edge").over(of_node))
+    return every.where("edge OR leaf").select(fn, "src", "dst")
 
 
 def cfg_roots(functions: DataFrame, blocks: DataFrame, fn: str) -> DataFrame:
-    """(fn, root): the block at a function's address, or else the one that holds it; none, no row."""
+    """(fn, root): the block at a function's address, or else the one that holds it; none, no row. Blocks should be stored."""
     found = containing(functions.select(fn, F.col(fn).alias("entry")), blocks, "entry", fn)
     return found.where("block is not null").select(fn, F.col("block").alias("root"))
 

@@ -17,8 +17,14 @@ CODE_SQL = """i AS (SELECT l_orderkey AS fn, CAST(l_linenumber AS BIGINT) * 4 AS
   (min(l_partkey % 7) + 1) * 4 AS dst FROM lineitem GROUP BY ALL)"""
 
 
+#: Lines that a task is given at most, as far as no order is larger.
+LINES = 250_000
+
+
 def _code(spark, sf_dir) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("fn"), (F.col("l_linenumber").cast("long") * 4).alias("addr"))
+    """Instructions, dealt by function into parts whose number grows with the lines; what goes by function needs no further shuffle."""
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines.repartition(1 + lines.count() // LINES, "l_orderkey").groupBy(F.col("l_orderkey").alias("fn"), (F.col("l_linenumber").cast("long") * 4).alias("addr"))
     return lines.agg(F.bool_or(F.col("l_returnflag") == "A").alias("ends"), ((F.min(F.col("l_partkey") % 7) + 1) * 4).alias("dst")).withColumn("size", F.lit(4))
 
 

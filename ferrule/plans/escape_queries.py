@@ -9,6 +9,7 @@ from ferrule.operators import candidates, escapes, graph, hashes, refs
 from ferrule.plans.code_queries import CODE_SQL, _code
 from ferrule.plans.queries import EDGES_SQL, _edges, _roots
 from ferrule.plans.registry import query, table
+from ferrule.session import staged
 
 le = escapes.little_endian
 
@@ -179,13 +180,19 @@ CFG_SQL = f"""{CODE_SQL}, t AS (SELECT DISTINCT fn, dst FROM i WHERE ends),
 
 
 def _blocks(spark, sf_dir) -> DataFrame:
+    """Blocks with their last instruction's target, staged: the graph's steps read them several times."""
     from ferrule.operators import blocks
 
     code = _code(spark, sf_dir)
     rows = blocks.derive_blocks(code, code.where("ends"), "fn", F.col("ends"))
-    return rows.groupBy("fn", F.col("block").alias("start")).agg(
+    found = rows.groupBy("fn", F.col("block").alias("start")).agg(
         F.max(F.col("addr") + F.col("size")).alias("end"), F.bool_or("ends").alias("ends"), F.max(F.when(F.col("ends"), F.col("dst"))).alias("dst")
     )
+    return staged(found, "blocks")
+
+
+def _functions(found: DataFrame) -> DataFrame:
+    return graph.dealt(found.select("fn"), found, "fn").distinct()
 
 
 @query(
@@ -201,7 +208,7 @@ def normalised_cfg(spark, sf_dir):
     """Bytes 0 to 11 of each function are guarded; the handler's address is told by the function's number."""
     found = _blocks(spark, sf_dir)
     edges = found.where("ends").select("fn", F.col("start").alias("src"), "dst")
-    handlers = found.select("fn").distinct().select("fn", F.lit(0).cast("long").alias("start"), F.lit(12).cast("long").alias("end"), (F.col("fn") % 40).alias("target"))
+    handlers = _functions(found).select("fn", F.lit(0).cast("long").alias("start"), F.lit(12).cast("long").alias("end"), (F.col("fn") % 40).alias("target"))
     cfg = graph.normalised_cfg(found.select("fn", "start", "end"), edges, handlers, "fn")
     return cfg.select("fn", "src", F.coalesce("dst", F.lit(-1).cast("long")).alias("dst"))
 
@@ -209,7 +216,7 @@ def normalised_cfg(spark, sf_dir):
 @query("cfg_roots", f"WITH {CFG_SQL} SELECT fn, max(s) AS root FROM blocks WHERE s <= fn AND e > fn GROUP BY fn")
 def cfg_roots(spark, sf_dir):
     found = _blocks(spark, sf_dir).select("fn", "start", "end")
-    return graph.cfg_roots(found.select("fn").distinct(), found, "fn")
+    return graph.cfg_roots(_functions(found), found, "fn")
 
 
 # --- sets of edges and instructions
