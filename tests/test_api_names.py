@@ -6,6 +6,9 @@ import json
 import random
 import struct
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from ferrule.operators import api_names
 from ferrule.sources.pages import PAGE
 
@@ -71,3 +74,53 @@ def test_pages_are_cut_many_at_once(spark):
     assert {(r.binary_id, int(r.addr), int(r.word)) for r in words.collect()} == {("d", 0, 1 << 63), ("f", PAGE, 1 << 20)}
     text = words._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in text and "hex(" not in text
+
+
+def best_shifts(words, exports, least):
+    """{(dump, os, dll): (shift, votes)} by trying every pair."""
+    votes = {}
+    for dump, word in set(words):
+        for os, dll, address in set(exports):
+            if (word - address) % 65536 == 0:
+                votes.setdefault((dump, os, dll), {}).setdefault((word - address) // 65536, []).append(address)
+    best = {}
+    for key, of in votes.items():
+        n, _, shift = min((-len(v), (abs(s), s), s) for s, v in of.items())
+        if -n >= least:
+            best[key] = (shift, -n)
+    return best
+
+
+def voted(words, exports, least, resolve, size):
+    rows = [(None, None, o, d, a % 65536, a // 65536) for o, d, a in exports] + [(b, w, None, None, w % 65536, w // 65536) for b, w in sorted(words)]
+    kinds = pa.schema([("binary_id", pa.string()), ("word", pa.decimal128(20, 0)), ("_os", pa.int32()), ("_dll", pa.string()), ("_low", pa.int32()), ("_high", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in rows[i : i + size]], kinds) for i in range(0, len(rows), size)]
+    return [r for b in api_names._dumps("string", ["binary_id", "word"], least, resolve)(iter(batches)) for r in b.to_pylist()]
+
+
+def test_votes_in_slices_of_any_size(monkeypatch):
+    """Many exports share their lower bits; libraries may lie all over the address space, dumps may span slices."""
+    rng = random.Random(4)
+    for turn in range(40):
+        far = rng.choice([1, 30, 1 << 20, (1 << 47) - 1])
+        exports = [(o, f"l{k}", 65536 * (rng.randrange(1, 60) + (far if rng.random() < 0.2 else 0)) + rng.choice([0, 16])) for o in (1, 2) for k in range(3) for _ in range(rng.randrange(1, 30))]
+        words = [(f"d{d}", 65536 * (rng.randrange(1, 90) + rng.choice([0, 0, far])) + rng.choice([0, 16, 32])) for d in range(12) for _ in range(rng.choice([1, 2, 5, 60]))]
+        monkeypatch.setattr(api_names, "PAIRS", rng.choice([1, 50, 1 << 20]))
+        monkeypatch.setattr(api_names, "ROWS", rng.choice([1, 40, 1 << 16]))
+        least, size = rng.choice([1, 2, 3]), rng.choice([7, 100, 10000])
+        want = best_shifts(words, exports, least)
+        assert {(r["binary_id"], r["_os"], r["_dll"]): (r["_shift"], r["_n"]) for r in voted(words, exports, least, False, size)} == want
+        met = sorted((b, w, o, d) for b, w in words for o, d in {e[:2] for e in exports} if (b, o, d) in want and (o, d, w - 65536 * want[b, o, d][0]) in set(exports))
+        assert sorted((r["binary_id"], int(r["word"]), r["_os"], r["_dll"]) for r in voted(words, exports, least, True, size)) == met
+
+
+def test_pairs_of_words_and_exports_are_no_rows(spark, monkeypatch):
+    """A thousand words that each meet a thousand exports make no million of rows to shuffle, whatever the exports' number."""
+    exports = spark.range(1000).selectExpr("1 AS os", "'l' AS dll", "CAST(id AS string) AS api", "CAST(id * id * 65536 AS decimal(20,0)) AS address")
+    words = spark.range(1000).selectExpr("id % 2 AS binary_id", "id AS addr", "CAST((id * id + 7) * 65536 AS decimal(20,0)) AS word")
+    found = api_names.library_shifts(words, exports)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.binary_id, r.os, r.dll, int(r["shift"]), r.n_apis) for r in found.collect()} == {(0, 1, "l", 7 * 65536, 500), (1, 1, "l", 7 * 65536, 500)}
+    monkeypatch.setattr(api_names, "EXPORTS", 500)  # libraries are dealt too
+    got = api_names.resolve_shifted(words, exports.unionByName(exports.withColumn("dll", F.lit("m"))))
+    assert sorted((r.addr, r.dll, r.api) for r in got.collect()) == sorted((i, d, str(i)) for i in range(1000) for d in "lm")
