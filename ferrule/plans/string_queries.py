@@ -63,8 +63,8 @@ def function_strings(spark, sf_dir):
     pointers = F.concat(le(AT + 8, 4), le(AT + 4, 4), le(AT + 16, 4), le(AT, 4))
     layout, found = _image(spark, sf_dir, F.concat(pointers, _text(), zeros(1)))
     code = _code(spark, sf_dir, ("mov", _named(0)), ("lea", _named(4)), ("push", _named(12)), ("mov", _named(16 + F.col("o_orderkey") % 3000)), ("call", _named(16)), ("ret", F.lit("")))
-    rows = strings.function_strings(_references(code, layout), layout, found)
-    return rows.select("binary_id", "fn", "src", F.col("addr").cast("long").alias("addr"), F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+    rows = strings.function_strings(_references(code, layout), layout, found, n=F.length("text").cast("long"), digest=F.md5("text"))
+    return rows.select("binary_id", "fn", "src", F.col("addr").cast("long").alias("addr"), "n", "digest")
 
 
 @query(

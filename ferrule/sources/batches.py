@@ -139,3 +139,25 @@ def read_files(files: DataFrame, schema: str, read: Callable[[pa.Array], tuple[n
     result = f"binary_id {kind}, {schema}"
     names = ["binary_id", *[c.split()[0] for c in schema.split(", ")]]
     return files.select("binary_id", "content").mapInArrow(run, result)
+
+
+def whole_binaries(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.Table]:
+    """Tables of whole binaries, whose rows come one after the other: ``rows`` rows or ``size`` bytes, or one binary, and more."""
+    waiting, n, held = [], 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        n, held, ids = n + batch.num_rows, held + batch.nbytes, batch.column("binary_id")
+        if (n < rows and held < size) or waiting[0].column("binary_id")[0] == ids[-1]:
+            continue
+        table = pa.Table.from_batches(waiting)
+        # the last binary may go on
+        open_ = pc.sum(pc.equal(ids, ids[-1])).as_py()
+        if open_ == batch.num_rows:
+            open_ = pc.sum(pc.equal(table["binary_id"], ids[-1])).as_py()
+        yield table.slice(0, len(table) - open_)
+        table = table.slice(len(table) - open_)
+        waiting, n, held = table.to_batches(), open_, table.nbytes
+    if waiting:
+        yield pa.Table.from_batches(waiting)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import re
 import struct
+from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ferrule.operators import strings
@@ -144,3 +146,46 @@ def test_no_references(spark):
     code = spark.createDataFrame([], "binary_id string, fn string, addr long, mnemonic string, operands string")
     assert strings.function_strings(none, layout, pages).count() == 0
     assert strings.go_function_strings(code, none, layout, pages, F.lit(8)).count() == 0
+
+
+def test_texts_in_slices_of_any_size(monkeypatch):
+    """Images of a part come as a stream, also above pointers and with sizes that no two of them could share."""
+    rng = random.Random(9)
+    kinds = [("binary_id", pa.string()), ("_kind", pa.int32()), ("_base", pa.decimal128(20, 0)), ("_size", pa.int64()), ("_page", pa.int64()), ("_bytes", pa.binary())]
+    kinds = pa.schema([*kinds, ("fn", pa.string()), ("src", pa.int64()), ("_start", pa.decimal128(20, 0))])
+    for turn in range(25):
+        images = {f"i{i:02}": random_image(rng) for i in range(12)}
+        bases = {k: rng.choice([BASE, BASE, (1 << 63) + BASE]) for k in images}
+        huge, rows, want = turn % 5 == 0, [], set()
+        for k, v in images.items():
+            size = len(v) if k != "i03" or not huge else 1 << 61
+            pages = [(i // PAGE, v[i : i + PAGE].ljust(PAGE, b"\0")) for i in range(0, len(v), PAGE) if any(v[i : i + PAGE])]
+            named = [(f"f{j % 3}", j // 2, bases[k] + rng.randrange(-2, len(v) + 2)) for j in range(rng.choice([0, 3, 60]))]
+            if rng.random() < 0.9:
+                rows.append((k, 0, Decimal(bases[k]), size))
+                if size == len(v):
+                    for f, s, d in named:
+                        chain = chain_from(v, d) if bases[k] == BASE else [d] if 0 <= d - bases[k] < len(v) else []
+                        want |= {(k, f, s, a, t) for a in chain if (t := text_at(v, a - bases[k])) is not None}
+            rows += [(k, 1, None, None, *p) for p in pages]
+            rows += [(k, 2, None, None, None, None, f, s, Decimal(d)) for f, s, d in named + named[:2]]
+        monkeypatch.setattr(strings, "ROWS", rng.choice([1, 50, 1 << 16]))
+        monkeypatch.setattr(strings, "SLICE", rng.choice([1, 5000, 4 << 20]))
+        monkeypatch.setattr(strings, "USERS", rng.choice([1, 4, 1 << 10]))
+        step = rng.choice([5, 70, 10000])
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in rows[i : i + step]], kinds) for i in range(0, len(rows), step)]
+        found = [r for b in strings._read_images(iter(batches)) for r in b.to_pylist()]
+        got = [(r["binary_id"], u["fn"], u["src"], int(r["_base"]) + r["_at"], r["text"]) for r in found for u in r["_users"]]
+        got = [g for g in got if not huge or g[0] != "i03"]
+        assert set(got) == {w for w in want} and len(got) == len(want)
+
+
+def test_texts_are_moved_once(spark):
+    """Pages and references are dealt once, no join carries a text, and what is made of a text is made once for all that use it."""
+    layout, pages = tables(spark, {"i": b"x" * 9000 + b"\0"})
+    refs = spark.range(5000).selectExpr("'i' AS binary_id", "id % 7 AS fn", "id AS src", f"{BASE} + id % 2 AS dst")
+    found = strings.function_strings(refs, layout, pages, n=F.length("text"), digest=F.md5(F.col("text").cast("binary")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("md5(cast(text")
+    got = found.collect()
+    assert {(r.fn, r.src, int(r.addr) - BASE, r.n) for r in got} == {(i % 7, i, i % 2, 9000 - i % 2) for i in range(5000)} and len(got) == 5000
