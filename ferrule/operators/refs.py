@@ -94,8 +94,8 @@ def is_code(points: DataFrame, instructions: DataFrame, at: str, bucket: int = 6
     return points.join(held, at, "left_semi")
 
 
-def data_refs(instructions: DataFrame, base: Column, size: Column) -> DataFrame:
-    """(binary_id, src, dst): hexadecimal operands of instructions that name an address of the image, calls and jumps left out.
+def data_refs(instructions: DataFrame, base: Column, size: Column, *keep: str) -> DataFrame:
+    """(binary_id, src, dst, and the columns ``keep``): hexadecimal operands of instructions that name an address of the image, calls and jumps left out.
 
     Operands of up to 16 digits are compared whole; ``dst`` has the type of ``base``, a decimal for addresses beyond a long.
     """
@@ -103,11 +103,11 @@ def data_refs(instructions: DataFrame, base: Column, size: Column) -> DataFrame:
 
     found = F.regexp_extract_all("operands", F.lit("0x([0-9a-fA-F]{1,16})"), F.lit(1))
     rows = instructions.where(~base_mnemonic(F.col("mnemonic")).rlike(CALL_JUMP)).select(
-        "binary_id", F.col("addr").alias("src"), base.alias("_b"), size.alias("_n"), F.explode(F.array_distinct(found)).alias("d")
+        "binary_id", *keep, F.col("addr").alias("src"), base.alias("_b"), size.alias("_n"), F.explode(F.array_distinct(found)).alias("d")
     )
     kind = "long" if rows.schema["_b"].dataType.typeName() in ("integer", "long") else "decimal(20,0)"
     rows = rows.withColumn("_d", F.conv("d", 16, 10).cast("decimal(20,0)")).where("_d >= _b AND _d < _b + _n")
-    return rows.select("binary_id", "src", F.col("_d").cast(kind).alias("dst")).distinct()
+    return rows.select("binary_id", *keep, "src", F.col("_d").cast(kind).alias("dst")).distinct()
 
 
 def split_at_entries(instructions: DataFrame, entries: DataFrame, fn: str) -> DataFrame:

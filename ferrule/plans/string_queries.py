@@ -17,11 +17,11 @@ AT = BASE + DATA + 0xE00  # its address: a page further on
 
 
 def _image(spark, sf_dir: str, data: Column):
-    """Layout and pages of ELF files with one section, whose bytes are those of ``data`` over a part's columns."""
-    n = F.length(data) / 2
+    """Layout and pages of ELF files with one section, whose bytes are ``data`` over a part's columns."""
+    n = F.octet_length(data)
     head = F.concat(F.lit("7F454C46020101"), zeros(9), le(2, 2), le(62, 2), le(1, 4), le(BASE, 8), le(64, 8), le(64, 8), le(0, 4), le(64, 2), le(56, 2), le(0, 2), le(64, 2), le(1, 2), le(0, 2))
     section = F.concat(le(0, 4), le(1, 4), le(2, 8), le(AT, 8), le(DATA, 8), le(n, 8), zeros(24))
-    files = _files(_parts(spark, sf_dir), "p_partkey", joined(head, section, F.lit("00" * (DATA - 128)), data))
+    files = _files(_parts(spark, sf_dir), "p_partkey", F.concat(joined(head, section, F.lit("00" * (DATA - 128))), data))
     layout, extents = pages.elf_image(files)
     return layout, staged(pages.image_pages(files, extents), "pages")
 
@@ -40,8 +40,7 @@ def _named(at: Column | int) -> Column:
 
 def _references(code, layout):
     image = code.join(layout.hint("merge"), "binary_id")
-    found = refs.data_refs(image, F.col("base"), F.col("size"))
-    return found.join(code.select("binary_id", F.col("addr").alias("src"), "fn").hint("merge"), ["binary_id", "src"])
+    return refs.data_refs(image, F.col("base"), F.col("size"), "fn")
 
 
 #: A part's text of up to 50 copies of its name, ten times over: it crosses up to four pages.
@@ -49,7 +48,7 @@ TEXT_SQL = "SELECT o_orderkey AS fn, o_custkey AS binary_id, repeat(p_name, p_si
 
 
 def _text() -> Column:
-    return F.hex(F.encode(F.repeat("p_name", F.col("p_size") * 10), "UTF-8"))
+    return F.encode(F.repeat("p_name", F.col("p_size") * 10), "UTF-8")
 
 
 @query(
@@ -61,7 +60,7 @@ def _text() -> Column:
 def function_strings(spark, sf_dir):
     """Functions name a pointer to a pointer, one to itself, one to the first, and a place inside the text or behind it."""
     pointers = F.concat(le(AT + 8, 4), le(AT + 4, 4), le(AT + 16, 4), le(AT, 4))
-    layout, found = _image(spark, sf_dir, F.concat(pointers, _text(), zeros(1)))
+    layout, found = _image(spark, sf_dir, F.concat(F.unhex(pointers), _text(), F.unhex(zeros(1))))
     code = _code(spark, sf_dir, ("mov", _named(0)), ("lea", _named(4)), ("push", _named(12)), ("mov", _named(16 + F.col("o_orderkey") % 3000)), ("call", _named(16)), ("ret", F.lit("")))
     rows = strings.function_strings(_references(code, layout), layout, found, n=F.length("text").cast("long"), digest=F.md5("text"))
     return rows.select("binary_id", "fn", "src", F.col("addr").cast("long").alias("addr"), "n", "digest")
@@ -77,7 +76,7 @@ def function_strings(spark, sf_dir):
 def go_function_strings(spark, sf_dir):
     """Lengths are moved behind an address, or stand beside a pointer; what follows the text is no zero byte, so length decides."""
     pairs = F.concat(le(AT + 37, 8), le(4090, 8), le(5, 8), le(9, 8))
-    layout, found = _image(spark, sf_dir, F.concat(pairs, _text(), F.lit("FF")))
+    layout, found = _image(spark, sf_dir, F.concat(F.unhex(pairs), _text(), F.unhex(F.lit("FF"))))
     moved = F.concat(F.lit("rbx, "), F.col("o_orderkey") % 3000)
     code = _code(
         spark, sf_dir, ("lea", _named(32)), ("mov", F.lit("rcx, rax")), ("mov", moved), ("mov", _named(0)), ("mov", F.lit("rcx, rax")), ("add", F.lit("rbx, 7")), ("mov", _named(16)), ("ret", F.lit(""))
